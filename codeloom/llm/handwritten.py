@@ -100,7 +100,7 @@ def profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kind, more = _classify(text, x, ms, s)
                 names: list[int] = []
                 lens: list[int] = []
-                if kind is None and not more["own"] and len(x) >= LEAST_TOKENS:
+                if kind in (None, "notice") and not more["own"] and len(x) >= LEAST_TOKENS:
                     p, length = phrases(concrete(x), PHRASE_LEVELS)
                     keep = length >= PHRASE_LEAST
                     names = p[keep].astype("int64").tolist()
@@ -146,4 +146,5 @@ def find_foreign(files: DataFrame) -> DataFrame:
         .agg(F.sum("length").alias("covered"), F.first("n_tokens").alias("n_tokens"))
         .where(F.col("covered") >= SHARED_SHARE * F.col("n_tokens"))
     )
-    return inside.unionByName(covered.select("file_id", F.lit("copy").alias("kind")))
+    both = inside.unionByName(covered.select("file_id", F.lit("copy").alias("kind")))
+    return both.groupBy("file_id").agg(F.min("kind").alias("kind"))

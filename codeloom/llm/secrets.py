@@ -111,7 +111,7 @@ def joined(text: str) -> tuple[str, list[tuple[int, int]]]:
     out, pieces, last, size = [], [(0, 0)], 0, 0
     for m in _JOIN.finditer(text):
         inner = m.group()[1:-1]
-        if not (_JOIN_OP.search(inner) or "\n" in inner and inner.strip() == "" and False):
+        if not _JOIN_OP.search(inner):
             continue
         if m.start() < last:
             continue
@@ -326,7 +326,7 @@ class Index:
         order = np.argsort(g, kind="stable")
         g, o = g[order], o[order]
         keys, first = np.unique(g, return_index=True)
-        self.postings = {int(k): o[a:b] for k, a, b in zip(keys, first, [*first[1:], len(o)], strict=True)}
+        self.postings = {int(k): o[a:b] for k, a, b in zip(keys, first, [*first[1:], len(o)])} if len(keys) else {}
 
     def candidates(self) -> list[list[str]]:
         """The rules that may match each chunk."""
