@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import abuse
 from .handwritten import find_foreign
 from .sourcefiles import credentials, documented_functions, error_rates, parse_errors, redacted, telling
 
@@ -60,6 +61,22 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scores(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -70,6 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_rates": p4_rates,
         "p5_found": p5_found,
         "p5_pairs": p5_pairs,
+        "p8_found": p8_found,
+        "p8_scores": p8_scores,
+        "p8_rates": p8_rates,
     }
 
 
