@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import abuse
+from . import abuse, entities
 from .handwritten import find_foreign
 from .sourcefiles import credentials, documented_functions, error_rates, parse_errors, redacted, telling
 
@@ -22,6 +22,15 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return find_foreign(table(spark, d, "file_info"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return entities.pairs(entities.resolve(table(spark, d, "developer_entity")))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with its entity."""
+    return entities.resolve(table(spark, d, "developer_entity"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials(table(spark, d, "file_info"), table(spark, d, "config_entity")).select("record_kind", "record_id", "line_no")
 
@@ -81,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_kinds": p1_kinds,
+        "p2_found": p2_found,
+        "p2_entities": p2_entities,
         "p3_found": p3_found,
         "p3_redacted": p3_redacted,
         "p4_found": p4_found,
