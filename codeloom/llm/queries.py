@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import abuse, entities
+from . import abuse, entities, packing
 from .handwritten import find_foreign
 from .sourcefiles import credentials, documented_functions, error_rates, parse_errors, redacted, telling
 
@@ -70,6 +70,26 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's container, for each size of containers."""
+    return packing.pack(packing.token_counts(table(spark, d, "documents")), table(spark, d, "pack_specs"))
+
+
+def p6_fills(spark: SparkSession, d: str) -> DataFrame:
+    """The fill of each container."""
+    return packing.fills(p6_packed(spark, d), table(spark, d, "pack_specs"))
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix, with their repeats."""
+    return packing.mix(packing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each source that each mix really has."""
+    return packing.shares(p7_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse.score(table(spark, d, "documents"), table(spark, d, "review_labels"))
 
@@ -98,6 +118,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_rates": p4_rates,
         "p5_found": p5_found,
         "p5_pairs": p5_pairs,
+        "p6_packed": p6_packed,
+        "p6_fills": p6_fills,
+        "p7_mixed": p7_mixed,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_scores": p8_scores,
         "p8_rates": p8_rates,
