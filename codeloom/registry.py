@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.graph import CodeGraph
+from .plans import edge_queries, graph_queries
+from .streaming import upserts
+
+
+def _edge(builder: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: getattr(CodeGraph(spark, folder), builder)()
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _edge(builder) for name, (builder, _) in edge_queries.EDGES.items()} | graph_queries.QUERIES | {"w04_stream_upsert": upserts.stream_query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: edge_queries.sql(name) for name in edge_queries.EDGES} | graph_queries.SQL | {"w04_stream_upsert": upserts.STREAM_SQL}
