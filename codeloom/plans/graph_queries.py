@@ -180,12 +180,16 @@ def q11_file_search(g: CodeGraph) -> DataFrame:
     return g.files.where(_any_word("file", "repoRoot")).select("file", "repoRoot")
 
 
+def _holds(word: str):
+    return lambda v: F.coalesce(F.lower(v).contains(word), F.lit(False))
+
+
 @query("SELECT type AS labels, id, name, file, repoRoot FROM nodes WHERE " + " AND ".join(f"({' OR '.join(f'coalesce(contains(lower({c}), {chr(39)}{w}{chr(39)}), FALSE)' for c in ('name', 'file', 'repoRoot', 'id'))})" for w in WORDS))
 def q12_generic(g: CodeGraph) -> DataFrame:
     props = F.map_from_arrays(F.array(*[F.lit(c) for c in ("name", "file", "repoRoot", "id")]), F.array("name", "file", "repoRoot", "id"))
     n = g.nodes.withColumn("props", props)
     for w in WORDS:
-        n = n.where(F.exists(F.map_values("props"), lambda v, w=w: F.coalesce(F.lower(v).contains(w), F.lit(False))))
+        n = n.where(F.exists(F.map_values("props"), _holds(w)))
     return n.select(F.col("type").alias("labels"), "id", "name", "file", "repoRoot")
 
 
@@ -239,9 +243,9 @@ def a06_identity(g: CodeGraph) -> DataFrame:
     return r.groupBy("repoRoot", "person").agg(F.max(F.when(F.col("rn") == 1, F.col("mail"))).alias("email"), F.sum("c").alias("commits"), F.count_distinct("mail").alias("mails"))
 
 
-@query("SELECT k.fromId AS dev, count(*) AS commits, min(c.timestamp) AS firstCommit, max(c.timestamp) AS lastCommit FROM committed k JOIN cm c ON c.id = k.toId GROUP BY 1")
+@query("SELECT k.fromId AS dev, count(*) AS commits, epoch_us(min(c.timestamp)) AS firstCommit, epoch_us(max(c.timestamp)) AS lastCommit FROM committed k JOIN cm c ON c.id = k.toId GROUP BY 1")
 def a07_dev_stats(g: CodeGraph) -> DataFrame:
-    return g.committed().join(g.commits.select(F.col("id").alias("toId"), "timestamp"), "toId").groupBy(F.col("fromId").alias("dev")).agg(F.count(F.lit(1)).alias("commits"), F.min("timestamp").alias("firstCommit"), F.max("timestamp").alias("lastCommit"))
+    return g.committed().join(g.commits.select(F.col("id").alias("toId"), "timestamp"), "toId").groupBy(F.col("fromId").alias("dev")).agg(F.count(F.lit(1)).alias("commits"), F.unix_micros(F.min("timestamp")).alias("firstCommit"), F.unix_micros(F.max("timestamp")).alias("lastCommit"))
 
 
 _LANG = "CASE lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGE_BY_ENDING.items()) + " ELSE 'other' END"
@@ -306,7 +310,7 @@ def f15_method_name(g: CodeGraph) -> DataFrame:
     return g.functions.where("name IS NOT NULL").select("name").distinct().select("name", P.query_operation(F.col("name")).alias("operation"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_/.\-\s]', ' ', 'g'), '\s+'), w -> w <> '')) AS words FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_/.\-\s]', ' ', 'g'), '\s+'), lambda w: w <> '')) AS words FROM documents WHERE text IS NOT NULL")
 def f28_tokens(g: CodeGraph) -> DataFrame:
     return g.raw("documents").where("text IS NOT NULL").select("doc_id", F.size(P.keywords(F.col("text"))).cast("bigint").alias("words"))
 

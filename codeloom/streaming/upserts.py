@@ -37,7 +37,12 @@ def merge_batch(folder: str):
 def watch(spark: SparkSession, source: str, folder: str, once: bool = False):
     """Starts the stream over Parquet files that arrive in ``source``."""
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(source)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():  # a stream needs a folder
+        stream = reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+    else:
+        stream = reader.parquet(source)
     writer = stream.select("fileId", "scannedAt", "snapshotVersion").writeStream.foreachBatch(merge_batch(folder)).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)).start()
 
@@ -48,8 +53,10 @@ def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     q = watch(spark, f"{sf_dir}/file_info.parquet", folder, once=True)
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{folder}/v{last}")
+    # the offsets log also counts a last trigger without data
+    done = [p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0]
+    return spark.read.parquet(f"{folder}/v{max(done, default=0)}").withColumn("scannedAt", F.unix_micros("scannedAt"))
 
 
-STREAM_SQL = "SELECT fileId, max({'a': scannedAt, 'b': snapshotVersion}).a AS scannedAt, max({'a': scannedAt, 'b': snapshotVersion}).b AS snapshotVersion FROM file_info GROUP BY 1"
+
+STREAM_SQL = "SELECT fileId, epoch_us(max({'a': scannedAt, 'b': snapshotVersion}).a) AS scannedAt, max({'a': scannedAt, 'b': snapshotVersion}).b AS snapshotVersion FROM file_info GROUP BY 1"
