@@ -64,7 +64,7 @@ def maven(files: DataFrame) -> DataFrame:
 def go_mod(files: DataFrame) -> DataFrame:
     """go.mod: single requirements and those of blocks."""
     df = files.where(F.col("file").rlike(r"(^|/)go\.mod\z"))
-    lines = F.filter(F.transform(F.split("content", r"\r?\n"), lambda x: F.regexp_replace(F.trim(x), r"^require\s+", "")), lambda x: x.rlike(r"^[\w./~-]+\.[\w./~-]+\s+v[\w.+-]+"))
+    lines = F.filter(F.transform(F.split("content", r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s*(?:require\s+)?", "")), lambda x: x.rlike(r"^[\w./~-]+\.[\w./~-]+\s+v[\w.+-]+"))
     return _packages(df, "go", F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1).alias("name"), F.regexp_extract(x, r"\s(v[\w.+-]+)", 1).alias("version"))))
 
 
