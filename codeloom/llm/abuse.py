@@ -292,7 +292,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     who disagree pull both ways.  The features of all documents are computed once; the trees are
     fitted on at most LABEL_BOUND ratings and WEAK_BOUND other documents, and calibrated by isotonic
     regression on a quarter of the ratings that they haven't seen.  Documents without text score
-    as such.  Without ratings of both kinds, or without documents, nothing is fitted and all scores are 0.
+    as such.  Without ratings, the other documents alone are fitted, labelled by their evidence;
+    where no two kinds of rows are left to fit, all scores are 0.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler

@@ -58,7 +58,7 @@ Mem{base} = Prim{base}
 @ts | Mem{base} '!' | Mem{base} TypeArgs Args | Mem{base} TypeArgs TPL | Mem{base} '?.' TypeArgs Args | Mem{base} TypeArgs
     ;
 Un{base} = Mem{base} | Mem{base} INC ;
-Bin{base} = Un{base} | PreOp Unary | INC Unary | SIGN Unary | 'await' Unary
+Bin{base} = Un{base} | PreOp Unary | INC Unary | PREINC Unary | SIGN Unary | 'await' Unary
     | Bin{base} Op Unary
 @ts | Bin{base} 'as' Type | Bin{base} 'satisfies' Type
     ;
@@ -160,7 +160,7 @@ Prop = Ident ['=' Assign] | Key ':' Assign | '...' Assign | Key Parens Block | '
     | ( 'get' | 'set' ) Key Parens Block ;
 Op = BIN | SIGN | '*' | '<' | '>' | '|' | '&' | '>' '>' | '>' '>' '>' | 'in' | 'instanceof' ;
 Assign = As ;
-Unary = Un | PreOp Unary | INC Unary | SIGN Unary | 'await' Unary ;
+Unary = Un | PreOp Unary | INC Unary | PREINC Unary | SIGN Unary | 'await' Unary ;
 PreOp = '!' | '~' | 'typeof' | 'void' | 'delete' ;
 """
     + _suffixes("")

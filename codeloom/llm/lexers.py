@@ -187,7 +187,7 @@ def ecma(text: str, lang: str, notes: list | None = None, tolerant: bool = False
     ``tolerant`` puts a token -1 where no token fits and goes on at the next line."""
     t, kind, master = _kit(lang)
     match, term = master.match, t.terminals
-    ID, NUM, STR, TPL, REGEX, JSX, PRIV = (term.get(k, -1) for k in ("ID", "NUM", "STR", "TPL", "REGEX", "JSX", "PRIVATE"))
+    ID, NUM, STR, TPL, REGEX, JSX, PRIV, PREINC = (term.get(k, -1) for k in ("ID", "NUM", "STR", "TPL", "REGEX", "JSX", "PRIVATE", "PREINC"))
     kinds, starts, breaks = [], [], []
     pos, n, nl, operand = 0, len(text), False, False
     if text.startswith("#!"):
@@ -231,8 +231,8 @@ def ecma(text: str, lang: str, notes: list | None = None, tolerant: bool = False
                     s = m.group()
                     if s == "?." and text[end : end + 1].isdigit():
                         s, end = "?", end - 1
-                    k = kind[s]
-                    after = s in _OPERAND_END
+                    k = PREINC if nl and s in ("++", "--") else kind[s]  # no line break before a postfix operator
+                    after = s in _OPERAND_END and k != PREINC
                 elif g == "num":
                     k, after = NUM, True
                 elif g == "str":
