@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def trails(edges: DataFrame, hops: int) -> DataFrame:
     """start, end, nodes, hops of every trail of 1 to ``hops`` edges; an edge is used once at most, nodes may repeat.
@@ -12,7 +14,8 @@ def trails(edges: DataFrame, hops: int) -> DataFrame:
     Each hop joins the open trails with the edges; trails that have closed go on too, as a longer
     closed trail may pass through their start.
     """
-    e = edges.select("fromId", "toId").distinct().withColumn("eid", F.concat_ws(">", "fromId", "toId"))
+    # every hop reads the edges: they are computed once
+    e = cut(edges.select("fromId", "toId").distinct()).withColumn("eid", F.concat_ws(">", "fromId", "toId"))
     step = e.select(F.col("fromId").alias("end"), F.col("toId").alias("next"), "eid")
     level = e.select(F.col("fromId").alias("start"), F.col("toId").alias("end"), F.array("fromId", "toId").alias("nodes"), F.array("eid").alias("used"))
     out = level
@@ -32,7 +35,7 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 
     Levels hold each (seed, node) once, so that the number of paths never shows.
     """
-    e = edges.select(F.col("fromId").alias("node"), F.col("toId").alias("next")).distinct()
+    e = cut(edges.select(F.col("fromId").alias("node"), F.col("toId").alias("next")).distinct())
     seen = seeds.select("seed", "node", F.lit(0).alias("hop")).distinct()
     front = seen
     for h in range(1, hops + 1):

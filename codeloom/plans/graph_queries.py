@@ -405,3 +405,48 @@ def e14_spring_endpoints(g: CodeGraph) -> DataFrame:
 @query("SELECT id, name, repoRoot FROM (SELECT *, row_number() OVER (PARTITION BY repoRoot ORDER BY seq, id) AS rn FROM repo) WHERE rn = 1")
 def s15_repositories(g: CodeGraph) -> DataFrame:
     return first_by(g.repositories.select("repoRoot", "seq", "id", "name"), ["repoRoot"], ["seq", "id"]).select("id", "name", "repoRoot")
+
+
+@query(
+    r"""SELECT fileId, ln, lower(regexp_extract(line, '^\s*(?:(?:export|public|private|protected|internal|declare|const)\s+)*(interface|enum)\s+[A-Za-z_]\w*', 1)) AS kind, regexp_extract(line, '^\s*(?:(?:export|public|private|protected|internal|declare|const)\s+)*(?:interface|enum)\s+([A-Za-z_]\w*)', 1) AS name FROM lines
+ WHERE regexp_matches(line, '^\s*(?:(?:export|public|private|protected|internal|declare|const)\s+)*(?:interface|enum)\s+[A-Za-z_]')"""
+)
+def e20_type_definitions(g: CodeGraph) -> DataFrame:
+    head = r"^\s*(?:(?:export|public|private|protected|internal|declare|const)\s+)*"
+    rows = g.lines.where(F.col("line").rlike(head + r"(?:interface|enum)\s+[A-Za-z_]"))
+    return rows.select("fileId", "ln", F.lower(F.regexp_extract("line", head + r"(interface|enum)\s+[A-Za-z_]\w*", 1)).alias("kind"), F.regexp_extract("line", head + r"(?:interface|enum)\s+([A-Za-z_]\w*)", 1).alias("name"))
+
+
+@query(
+    "SELECT type, count(*) AS cnt FROM (SELECT 'CALLS' AS type FROM calls UNION ALL SELECT 'PROVIDES_API' FROM provides UNION ALL SELECT 'USES_API' FROM uses UNION ALL SELECT 'QUERIES' FROM qtab UNION ALL SELECT 'USES_CONFIG' FROM ucfg UNION ALL SELECT 'EMITS_ERROR' FROM emits UNION ALL SELECT 'COMMITTED' FROM committed) GROUP BY 1"
+)
+def a15_edge_counts(g: CodeGraph) -> DataFrame:
+    """Ingested edges of each type."""
+    parts = [g.calls(), g.provides_api(), g.uses_api(), g.queries_table(), g.uses_config(), g.emits_error(), g.committed()]
+    out = parts[0].groupBy("type").count()
+    for p in parts[1:]:
+        out = out.unionByName(p.groupBy("type").count())
+    return out.select("type", F.col("count").alias("cnt"))
+
+
+@query("SELECT (SELECT count(*) FROM fl) AS files, (SELECT count(*) FROM fn) AS functions, (SELECT count(*) FROM cfg) AS configs, (SELECT count(*) FROM repo) AS repositories, (SELECT count(*) FROM dev) AS developers, (SELECT count(*) FROM cm) AS commits")
+def a14_summary(g: CodeGraph) -> DataFrame:
+    """Counts of a scan's entities."""
+    parts = {"files": g.files, "functions": g.functions, "configs": g.configs, "repositories": g.repositories, "developers": g.developers, "commits": g.commits}
+    out = None
+    for name, df in parts.items():
+        n = df.agg(F.count(F.lit(1)).alias(name))
+        out = n if out is None else out.join(n, F.lit(True))  # single rows
+    return out
+
+
+@query(r"SELECT fileId, regexp_matches(lower(file), '\.(test|spec)\.') OR contains(lower(file), '/test/') AS isTest FROM fl")
+def pr15_test_files(g: CodeGraph) -> DataFrame:
+    low = F.lower("file")
+    return g.files.select("fileId", (low.rlike(r"\.(test|spec)\.") | low.contains("/test/")).alias("isTest"))
+
+
+@query(r"SELECT DISTINCT route, CASE WHEN regexp_matches(route, '(?i)^(?:https?:)?//') THEN 'consumed' ELSE direction END AS direction FROM api")
+def pr14_reclassified(g: CodeGraph) -> DataFrame:
+    """Provided endpoints with a full URL are consumed ones."""
+    return g.apis.select("route", F.when(P.is_full_url(F.col("route")), "consumed").otherwise(F.col("direction")).alias("direction")).distinct()
