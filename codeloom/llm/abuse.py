@@ -62,7 +62,7 @@ TECHNICAL = frozenset(
 _LEET = str.maketrans({"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "|": "l", "+": "t", "8": "b", "€": "e"})
 _CYR = str.maketrans("аеорсухіїкмнтвѕԁ", "aeopcyxiikmhtbsd")
 _WORDS = re.compile(r"@[\w.]+|[^\W_]+(?:['’\-][^\W_]+)*|[^\s\w]+")
-_PASSAGE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|\n|$)|[.!?]+[^.!?\n]*")
+_PASSAGE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<![\w])(?:[A-Za-z@$!013457*]([ ._\-]))(?:[A-Za-z@$!013457*]\1){2,}[A-Za-z@$!013457*](?![\w])")
 _MASKED = re.compile(r"(?<![\w*])([A-Za-z])([*#]{2,})([A-Za-z]?)(?![\w*])")
 _STAR = re.compile(r"(?<!\w)[@$][\w@$!]{3,}|[A-Za-z][A-Za-z*@$!#\d]*[*@$!#\d][A-Za-z*@$!#\d]*")
@@ -85,6 +85,11 @@ FEATURES = (
 
 
 def _plain(s: str) -> str:
+    if "Ã" in s or "Â" in s:  # UTF-8 that was read as Latin text
+        try:
+            s = s.encode("cp1252").decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            pass
     s = unicodedata.normalize("NFKD", s.translate(_CYR))
     s = "".join(ch for ch in s if not unicodedata.combining(ch) and ch not in "​‌‍­﻿")
     return re.sub(r"[ \t]+", " ", s.replace("ß", "ss").replace("’", "'"))
@@ -233,8 +238,8 @@ def features(text: str | None, cache: dict[str, dict | None] | None = None) -> l
     """The dense features of a text: those of its passage with most evidence, the next passage's evidence, and size."""
     best: dict[str, float] | None = None
     second, total, n, shares = 0.0, 0, 0, 0.0
-    for m in _PASSAGE.finditer(text or ""):
-        s = m.group().strip()
+    for s in _PASSAGE.split(text or ""):
+        s = s.strip()
         if len(s) < 3:
             continue
         n += 1

@@ -245,13 +245,14 @@ def ecma(text: str, lang: str, notes: list | None = None, tolerant: bool = False
             starts.append(pos)
             breaks.append(nl)
             nl, operand, pos = False, after, end
-        except LexError as e:
+        except (LexError, RecursionError) as e:  # templates nested without end are no token either
+            at = getattr(e, "at", pos)
             if not tolerant:
-                raise
+                raise LexError(at) from None
             kinds.append(-1)
             starts.append(pos)
             breaks.append(nl)
-            nl, operand, pos = True, False, _resume(text, max(pos, e.at if e.at < n else pos))
+            nl, operand, pos = True, False, _resume(text, max(pos, at if at < n else pos))
     kinds.append(term[END])
     starts.append(n)
     breaks.append(True)
@@ -338,12 +339,13 @@ def curly(text: str, lang: str, notes: list | None = None, tolerant: bool = Fals
                 starts.append(pos)
                 fresh = False
             pos = m.end()
-        except LexError as e:
+        except (LexError, RecursionError) as e:
+            at = getattr(e, "at", pos)
             if not tolerant:
-                raise
+                raise LexError(at) from None
             kinds.append(-1)
             starts.append(pos)
-            pos, fresh = _resume(text, max(pos, e.at if e.at < n else pos)), True
+            pos, fresh = _resume(text, max(pos, at if at < n else pos)), True
     kinds.append(term[END])
     starts.append(n)
     return kinds, starts, None

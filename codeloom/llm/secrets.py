@@ -29,7 +29,7 @@ RULES: dict[str, str] = {
     "jwt": r"(?<![A-Za-z0-9])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}",
     "pem": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----",
     "address": r"(?<![A-Za-z0-9])[A-Za-z][\w+.-]*(?::[A-Za-z]\w*)?://[^\s:/@\"'`<>{}$]*:[^\s/@\"'`<>{}$]+@[\w.-]+",
-    "connection": r"(?i)(?:[\w .]+=[^;\"'\n]*;\s*)+(?:password|pwd)\s*=\s*[^;\"'\s]+",
+    "connection": r"(?i)(?<=;)\s*(?:password|pwd)\s*=\s*[^;\"'\s]+",
     "basic": r"(?i:\bbasic)\s+[A-Za-z0-9+/]{8,}={0,2}",
     "bearer": r"(?i:\bbearer)\s+[A-Za-z0-9_.~+/=-]{16,}",
     "header": r"(?i)(?:x-auth|x-api-key|x-token|authorization|api-key|private-token)[\w-]*[\"']?\s*:\s*[\"']?(?P<v>[^\s'\"]{6,})",
@@ -57,6 +57,7 @@ _PLACEHOLDER = re.compile(
 )
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 _JOIN = re.compile(r"([\"'`])[ \t]*(?:\+|\.\.|\\)?[ \t]*\\?(?:\r?\n[ \t]*)?(?:\+[ \t]*)?\1")
+_SETTINGS = re.compile(r"(?:[\w .]++=[^;\"'\n=]*;[ \t]*)+$")
 _JOIN_OP = re.compile(r"[+\\]")
 _LITERAL = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`((?:\\.|[^`\\\n])*)`")
 _CODE_EXT = frozenset("js jsx ts tsx mjs cjs py java cs go rb php kt scala c h cpp rs swift sh".split())
@@ -170,7 +171,10 @@ def verify(text: str, rules, ext: str, plain: bool = False) -> list[tuple[int, i
                 pw = re.split(r"(?i)(?:password|pwd)\s*=\s*", v)[-1]
                 if _PLACEHOLDER.search(pw) or len(pw) < 4:
                     continue
-                a += len(v) - len(v.lstrip())
+                # the address begins with the settings before the password
+                before = _SETTINGS.search(text[max(0, a - 400) : a])
+                a -= len(before.group().lstrip()) if before else 0
+                a += len(text[a:b]) - len(text[a:b].lstrip())
             elif rule == "basic":
                 plain_text = _b64(v.split()[-1])
                 if not plain_text or ":" not in plain_text or _PLACEHOLDER.search(plain_text.split(":", 1)[1]):
