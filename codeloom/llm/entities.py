@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 8  # rematching ends earlier when nothing merges
-FREE_SHARE = 0.02  # a mail host of so large a share of all records is no organisation's
+NUMBERED_SHARE = 0.5  # a host most of whose mails carry an account number hands out mails to anybody
+PUBLIC_HOSTS = ("gmail.com", "googlemail.com", "hotmail.com", "outlook.com", "live.com", "yahoo.com", "icloud.com", "me.com", "aol.com", "gmx.de", "gmx.net", "web.de", "proton.me", "protonmail.com", "mail.ru", "yandex.ru", "qq.com", "163.com")  # Free-mail hosts. Fixed values.
 NICKNAMES = {  # Short forms of first names. Fixed values.
     "alex": "alexander", "ale": "alejandro", "ana": "anna", "andy": "andrew", "becky": "rebecca", "ben": "benjamin", "beppe": "giuseppe", "bill": "william", "bob": "robert", "chris": "christopher",
     "dan": "daniel", "dave": "david", "dick": "richard", "dima": "dmitri", "ed": "edward", "fran": "francisco", "gabi": "gabriela", "greg": "gregory", "hans": "johannes", "jim": "james", "joe": "joseph",
@@ -162,7 +162,9 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if keys:
                     mails.update(keys)
                     readings.update("m|" + "|".join(x) for x in mail_spellings(a))
-                    readings.update("h|" + k.split("@", 1)[1] for k in keys if k[0] != "#")
+                    hosts = {k.split("@", 1)[1] for k in keys if k[0] != "#"}
+                    hosts |= {h.split(".", 1)[1] for h in hosts if h.count(".") >= 2}
+                    readings.update("h|" + h for h in hosts)
                 elif a:
                     names.append(a)
             for n in names:
@@ -171,31 +173,46 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["node", "mails", "readings"])
 
 
-def _block_rows(free: frozenset[str]):
-    """Blocks of a profile: one for each host, initial and beginning or end of a last name, with what the comparison needs."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for comp, mails, readings in zip(pdf["comp"], pdf["mails"], pdf["readings"], strict=True):
-                numbers = ",".join(sorted(m[1:] for m in mails if m[0] == "#"))
-                names, own = set(), {}
-                hosts = {r[2:] for r in readings if r[0] == "h"} - free
-                hosts |= {h.split(".", 1)[1] for h in hosts if h.count(".") >= 2}
-                for r in readings:
-                    p = r.split("|")
-                    if p[0] == "n":
-                        names.add((p[1], p[2]))
-                    elif p[0] == "m" and p[1] not in free:
-                        own.setdefault(p[1], set()).add((p[2], p[3]))
-                for h in hosts:
-                    every = names | own.get(h, set())
-                    text = ";".join(f"{f},{x},{'n' if (f, x) in names else ''}{'m' if (f, x) in own.get(h, ()) else ''}" for f, x in sorted(every))
-                    keys = {f"{h}|{f[0]}|{part}" for f, x in every if len(x) >= 3 for part in (f"<{x[:4]}", f"{x[-4:]}>")}
-                    rows.extend((k, comp, numbers, text) for k in keys)
-            yield pd.DataFrame(rows, columns=["block", "comp", "numbers", "spellings"])
-
-    return run
+def _cuts(x: str) -> set[str]:
+    """A word and what is left of it without one letter: two words that are near have one of these in common."""
+    return {x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}
+
+
+_SPELLED = "comp string, host string, numbered boolean, spellings string"
+
+
+def _spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a profile is called in each of its organisations; names without an organisation's mail count in none."""
+    for pdf in batches:
+        rows = []
+        for comp, mails, readings in zip(pdf["comp"], pdf["mails"], pdf["readings"], strict=True):
+            numbered = any(m[0] == "#" for m in mails)
+            names, own = set(), {}
+            for r in readings:
+                p = r.split("|")
+                if p[0] == "n":
+                    names.add((p[1], p[2]))
+                elif p[0] == "m":
+                    own.setdefault(p[1], set()).add((p[2], p[3]))
+            for h in sorted(r[2:] for r in readings if r[0] == "h"):
+                every = names | own.get(h, set())
+                if every:
+                    rows.append((comp, h, numbered, ";".join(f"{f},{x},{'n' if (f, x) in names else ''}{'m' if (f, x) in own.get(h, ()) else ''}" for f, x in sorted(every))))
+        yield pd.DataFrame(rows, columns=["comp", "host", "numbered", "spellings"])
+
+
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys of a profile in an organisation: an initial with a whole last name, and with what is left of it without one letter."""
+    for pdf in batches:
+        rows = []
+        for comp, h, numbered, text in zip(pdf["comp"], pdf["host"], pdf["numbered"], pdf["spellings"], strict=True):
+            keys = set()
+            for t in text.split(";"):
+                f, x, _ = t.split(",")
+                if len(x) >= 3:
+                    keys.update(f"{h}|{f[0]}|{v}" for v in (_cuts(x) if len(f) > 1 and len(x) > 3 else (x,)))
+            rows.extend((k, h, comp, numbered) for k in keys)
+        yield pd.DataFrame(rows, columns=["key", "host", "comp", "numbered"])
 
 
 def same(a: list[tuple[str, str, str]], b: list[tuple[str, str, str]]) -> bool:
@@ -232,28 +249,64 @@ def same(a: list[tuple[str, str, str]], b: list[tuple[str, str, str]]) -> bool:
     return False
 
 
-def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of each block: a profile to those that it agrees with; one that agrees with people who differ among themselves stays."""
+def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of profiles whose spellings in one organisation agree."""
     for pdf in batches:
-        rows = []
-        for members in pdf["members"]:
-            seen: list[tuple[str, set, list]] = []
-            for comp, numbers, text in sorted((m["comp"], m["numbers"], m["spellings"]) for m in members):
-                num = set(numbers.split(",")) - {""}
-                spell = [tuple(t.split(",")) for t in text.split(";") if t]
-                hits = [s for s in seen if not (num and s[1] and not num & s[1]) and same(spell, s[2])]
-                if hits and not any(p[1] and q[1] and not p[1] & q[1] for p in hits for q in hits):
-                    rows.extend((f"{comp}~{h[0]}", n) for h in hits for n in (comp, h[0]))
-                seen.append((comp, num, spell))
-        yield pd.DataFrame(rows, columns=["key", "node"])
+        parsed = lambda text: [tuple(t.split(",")) for t in text.split(";")]
+        kept = [same(parsed(x), parsed(y)) for x, y in zip(pdf["spellings_a"], pdf["spellings_b"], strict=True)]
+        yield pdf.loc[kept, ["a", "b", "numbered_a", "numbered_b"]]
+
+
+def _matches(profiles: DataFrame) -> DataFrame:
+    """key, node: links between profiles that agree in an organisation.
+
+    Candidates meet by an equality join on keys; no organisation is gathered.  Account numbers have
+    been merged before, so that two profiles with numbers are two people: one without a number that
+    agrees with several of them stays, and no chain of profiles without numbers joins two of them.
+    """
+    from ..session import cut
+
+    spelled = cut(profiles.mapInPandas(_spelled, _SPELLED))
+    keys = spelled.mapInPandas(_keyed, "key string, host string, comp string, numbered boolean")
+    a = keys.select("key", "host", F.col("comp").alias("a"), F.col("numbered").alias("numbered_a"))
+    b = keys.select("key", F.col("comp").alias("b"), F.col("numbered").alias("numbered_b"))
+    met = a.join(b, "key").where("a < b AND NOT (numbered_a AND numbered_b)").select("host", "a", "b", "numbered_a", "numbered_b").distinct()
+    texts = spelled.select("host", "comp", "spellings")
+    met = met.join(texts.withColumnsRenamed({"comp": "a", "spellings": "spellings_a"}), ["host", "a"]).join(texts.withColumnsRenamed({"comp": "b", "spellings": "spellings_b"}), ["host", "b"])
+    hits = cut(met.select("a", "b", "numbered_a", "numbered_b", "spellings_a", "spellings_b").mapInPandas(_agreeing, "a string, b string, numbered_a boolean, numbered_b boolean").distinct())
+    ends = hits.select(F.col("a").alias("node"), F.col("numbered_b").alias("other")).unionByName(hits.select(F.col("b").alias("node"), F.col("numbered_a").alias("other")))
+    torn = ends.where("other").groupBy("node").count().where("count > 1").select("node")
+    hits = cut(hits.join(torn.withColumnRenamed("node", "a"), "a", "left_anti").join(torn.withColumnRenamed("node", "b"), "b", "left_anti"))
+    if hits.isEmpty():
+        return _links(hits)
+    sides = hits.select(F.col("a").alias("node"), F.col("numbered_a").alias("numbered")).unionByName(hits.select(F.col("b").alias("node"), F.col("numbered_b").alias("numbered"))).distinct()
+    comps = _components(sides.select("node"), _links(hits)).join(sides, "node")
+    mixed = comps.groupBy("comp").agg(F.count_if("numbered").alias("n")).where("n > 1")
+    chained = comps.join(mixed, "comp", "left_semi").select(F.col("node").alias("a"))
+    sure = hits.where("numbered_a OR numbered_b").unionByName(hits.where("NOT numbered_a AND NOT numbered_b").join(chained, "a", "left_anti"), allowMissingColumns=False)
+    return cut(_links(sure))
+
+
+def _links(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.concat_ws("~", "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node"))
+
+
+def _of_organisations(records: DataFrame) -> DataFrame:
+    """The records without the readings at free-mail hosts, which are told by their mails, however many records they have."""
+    mails = records.select(F.explode("mails").alias("mail")).where("mail NOT LIKE '#%'").distinct()
+    hosts = mails.groupBy(F.substring_index("mail", "@", -1).alias("host")).agg(F.avg(F.col("mail").rlike(r"[a-z][._]?\d{4,}@").cast("int")).alias("numbered"))
+    free = hosts.where((F.col("numbered") > NUMBERED_SHARE) | F.col("host").isin(*PUBLIC_HOSTS)).select("host")
+    readings = records.select("node", F.explode("readings").alias("r")).withColumn("host", F.when(~F.col("r").startswith("n|"), F.split_part("r", F.lit("|"), F.lit(2))))
+    kept = readings.join(free, "host", "left_anti").groupBy("node").agg(F.collect_set("r").alias("readings"))
+    return records.select("node", "mails").join(kept, "node", "left").select("node", "mails", F.coalesce("readings", F.array().cast("array<string>")).alias("readings"))
 
 
 def resolve(developers: DataFrame) -> DataFrame:
     """id, entity: the least id of the records of the same person or organisation, for every id.
 
     Repeated deliveries of an id add their spellings.  Null or empty names and mails give no
-    evidence; such records stay alone, as do records of an empty table.  Hosts that serve a large
-    share of all records belong to no organisation: mails there link only when equal.
+    evidence; such records stay alone, as do records of an empty table.  At hosts that hand out mails
+    to anybody, mails link only when equal; every organisation is matched, however large.
     """
     from ..session import cut
 
@@ -261,21 +314,15 @@ def resolve(developers: DataFrame) -> DataFrame:
     records = cut(src.mapInPandas(_evidence, _EVIDENCE).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("mails"))).alias("mails"), F.array_distinct(F.flatten(F.collect_set("readings"))).alias("readings")))
     links = records.select("node", F.explode("mails").alias("key"))
     labels = _components(records.select("node"), links)
-    hosts = records.select(F.explode(F.filter("readings", lambda r: r.startswith("h|"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    total = records.count()
-    # at most 1 / FREE_SHARE hosts, counting a few mails for each record
-    free = frozenset(r["h"][2:] for r in hosts.where(F.col("n") >= max(20, FREE_SHARE * total)).limit(1000).collect())
-    for _ in range(MAX_ROUNDS):
+    records = cut(_of_organisations(records))
+    while True:  # each round with a match leaves fewer profiles
         profiles = (
             labels.join(records, "node")
             .select("comp", "mails", "readings")
             .groupBy("comp")
             .agg(F.array_distinct(F.flatten(F.collect_set("mails"))).alias("mails"), F.array_distinct(F.flatten(F.collect_set("readings"))).alias("readings"))
         )
-        blocks = profiles.mapInPandas(_block_rows(free), "block string, comp string, numbers string, spellings string")
-        # a block holds profiles, not records: people of one organisation whose names begin or end alike
-        shared = blocks.groupBy("block").agg(F.collect_set(F.struct("comp", "numbers", "spellings")).alias("members")).where(F.size("members") > 1)
-        found = cut(shared.select("members").mapInPandas(_match, "key string, node string").distinct())
+        found = _matches(profiles)
         if found.isEmpty():
             break
         merged = _components(found.select("node").distinct(), found)

@@ -64,6 +64,15 @@ def test_entities(spark):
     assert entities.resolve(df.limit(0)).count() == 0
 
 
+def test_entities_of_a_large_organisation(spark):
+    word = lambda k: "".join("bcdfghjklm"[int(c)] + "aeiou"[int(c) % 5] for c in f"{k:03d}")
+    rows = [r for k in range(0, 300, 7) for r in ((f"p{k:03d}a", f"Maria {word(k)}", f"maria.{word(k)}@big.test", None), (f"p{k:03d}b", f"M. {word(k)}", f"m{word(k)}@big.test", None))]
+    rows += [("x1", "Anna Kovberg", "anna.kovberg@big.test", ["11100+a@users.noreply.codehost.example"]), ("x2", "Anna Kovberg", "a.kovberg@big.test", ["22200+b@users.noreply.codehost.example"]), ("x0", "Anna Kovberg", "akovberg@big.test", None)]
+    rows += [(f"f{k}", "Jo Lindmann", f"jolindmann{k}000{k}@post.test", None) for k in range(3)]
+    got = {frozenset(r) for r in entities.pairs(entities.resolve(spark.createDataFrame(rows, "id string, name string, email string, aliases array<string>"))).collect()}
+    assert got == {frozenset((f"p{k:03d}a", f"p{k:03d}b")) for k in range(0, 300, 7)}  # nobody of a free-mail host, and not two numbered people through a third
+
+
 def test_components_equal_brute_force(spark):
     random.seed(2)
     links = [(f"k{random.randrange(60)}", f"n{random.randrange(80):02d}") for _ in range(90)]
