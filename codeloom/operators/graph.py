@@ -249,7 +249,8 @@ class CodeGraph:
         """cPath, pPath that match by equality, by containment or by template, over distinct paths.
 
         No path is compared with all others: a consumed path emits its substrings for containment,
-        and its forms with segments masked for templates, which are then joined by equality.
+        and for templates one form for each set of open segments that templates of its length have;
+        those are joined by equality, and their open segments are then compared.
         """
         a = self.apis.withColumn("path", api_path(F.col("route")))
         c = a.where("direction = 'consumed' AND path <> ''").select(F.col("path").alias("cPath")).distinct()
@@ -258,12 +259,16 @@ class CodeGraph:
         starts = c.select("cPath", F.explode(F.sequence(F.lit(1), F.length("cPath"))).alias("s"))
         subs = starts.where(F.length("cPath") - F.col("s") >= 1).select("cPath", "s", F.explode(F.sequence(F.lit(2), F.length("cPath") - F.col("s") + 1)).alias("k")).select("cPath", F.col("cPath").substr(F.col("s"), F.col("k")).alias("pPath")).distinct()
         within = subs.join(p, "pPath").select("cPath", "pPath")
-        mask = F.regexp_replace(F.lower("pPath"), r"\{[^/}]+\}|:[a-z_][a-z0-9_]*", "*")
-        tmpl = p.withColumn("key", mask).where("key LIKE '%*%'")
-        segs = c.withColumn("seg", F.split(F.lower("cPath"), "/")).where(F.size("seg") <= 10)
-        masks = segs.select("cPath", "seg", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("seg") - 1).cast("int") - 1)).alias("bits"))
-        form = F.array_join(F.expr("transform(seg, (x, i) -> CASE WHEN i > 0 AND x <> '' AND (bits & shiftleft(1, i - 1)) <> 0 THEN '*' ELSE x END)"), "/")
-        by_template = masks.select("cPath", form.alias("key")).distinct().join(tmpl, "key").select("cPath", "pPath")
+        hole = r"\{[^/}]+\}|:[a-z_][a-z0-9_]*"
+        form = lambda: F.array_join(F.expr("transform(seg, (x, i) -> CASE WHEN array_contains(open, i) THEN '*' ELSE x END)"), "/")
+        tmpl = p.where(F.lower("pPath").rlike(hole)).withColumn("seg", F.split(F.regexp_replace(F.lower("pPath"), hole, "\u0001"), "/"))
+        tmpl = tmpl.withColumn("open", F.expr("filter(sequence(0, size(seg) - 1), i -> contains(seg[i], '\u0001'))"))
+        # literal parts are quoted; paths are in lower case, so that none ends a quote
+        tmpl = tmpl.withColumn("pattern", F.concat(F.lit(r"^\Q"), F.replace(F.array_join("seg", "/"), F.lit("\u0001"), F.lit(r"\E[^/]+\Q")), F.lit(r"\E$")))
+        tmpl = tmpl.select("pPath", "pattern", "open", F.size("seg").alias("n"), form().alias("key"))
+        segs = c.withColumn("seg", F.split(F.lower("cPath"), "/")).withColumn("n", F.size("seg"))
+        shaped = segs.join(tmpl.select("n", "open").distinct(), "n").select("cPath", "n", "open", form().alias("key"))
+        by_template = shaped.join(tmpl, ["n", "open", "key"]).where(F.rlike(F.lower("cPath"), F.col("pattern"))).select("cPath", "pPath")
         return equal.unionByName(within).unionByName(by_template).distinct()
 
     def consumes_api_from(self) -> DataFrame:

@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+def _levels(edges: DataFrame, hops: int) -> list[DataFrame]:
+    """start, end, nodes, used of the trails of 1, 2, ... ``hops`` edges."""
+    # every hop reads the edges: they are computed once
+    e = cut(edges.select("fromId", "toId").distinct()).withColumn("eid", F.concat_ws(">", "fromId", "toId"))
+    step = e.select(F.col("fromId").alias("end"), F.col("toId").alias("next"), "eid")
+    out = [e.select(F.col("fromId").alias("start"), F.col("toId").alias("end"), F.array("fromId", "toId").alias("nodes"), F.array("eid").alias("used"))]
+    for _ in range(hops - 1):
+        grown = out[-1].join(step, "end").where(~F.array_contains("used", F.col("eid")))
+        out.append(grown.select("start", F.col("next").alias("end"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("used", F.array("eid")).alias("used")))
+    return out
+
+
 def trails(edges: DataFrame, hops: int) -> DataFrame:
     """start, end, nodes, hops of every trail of 1 to ``hops`` edges; an edge is used once at most, nodes may repeat.
 
     Each hop joins the open trails with the edges; trails that have closed go on too, as a longer
     closed trail may pass through their start.
     """
-    # every hop reads the edges: they are computed once
-    e = cut(edges.select("fromId", "toId").distinct()).withColumn("eid", F.concat_ws(">", "fromId", "toId"))
-    step = e.select(F.col("fromId").alias("end"), F.col("toId").alias("next"), "eid")
-    level = e.select(F.col("fromId").alias("start"), F.col("toId").alias("end"), F.array("fromId", "toId").alias("nodes"), F.array("eid").alias("used"))
-    out = level
-    for _ in range(hops - 1):
-        grown = level.join(step, "end").where(~F.array_contains("used", F.col("eid")))
-        level = grown.select("start", F.col("next").alias("end"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("used", F.array("eid")).alias("used"))
+    out, *longer = _levels(edges, hops)
+    for level in longer:
         out = out.unionByName(level)
     return out.select("start", "end", "nodes", F.size("used").alias("hops"))
 
@@ -30,6 +36,43 @@ def closed_trails(edges: DataFrame, hops: int) -> DataFrame:
     return trails(edges, hops).where("start = end")
 
 
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """The edges within strongly connected components: no other edge is on a closed trail.
+
+    The least node that reaches a node, and the least that it reaches, are the same for all nodes of
+    a component; edges between different ones go, until none goes.
+    """
+    e = cut(edges.select("fromId", "toId").distinct())
+    n = e.count()
+    while n:
+        for a, b in (("fromId", "toId"), ("toId", "fromId")):
+            labels = cut(e.select(F.explode(F.array("fromId", "toId")).alias("node")).distinct().withColumn("label", F.col("node")))
+            while True:
+                offered = e.join(labels, F.col(a) == F.col("node")).groupBy(F.col(b).alias("node")).agg(F.min("label").alias("least"))
+                new = cut(labels.join(offered, "node", "left").select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("moved")))
+                labels = new.select("node", "label")
+                if new.where("moved").isEmpty():
+                    break
+            ends = [labels.select(F.col("node").alias(c), F.col("label").alias(c + "Label")) for c in ("fromId", "toId")]
+            e = cut(e.join(ends[0], "fromId").join(ends[1], "toId").where("fromIdLabel = toIdLabel").select("fromId", "toId"))
+        left = e.count()
+        if left == n:
+            break
+        n = left
+    return e
+
+
+def closed_by_halves(edges: DataFrame, hops: int) -> DataFrame:
+    """start, nodes, hops of every closed trail of 1 to ``hops`` edges: its halves meet by an equality join on both ends, so that no open trail is longer than a half."""
+    levels = _levels(cyclic_edges(edges), (hops + 1) // 2)
+    out = levels[0].where("start = end").select("start", "nodes", F.lit(1).alias("hops"))
+    for h in range(2, hops + 1):
+        back = levels[h // 2 - 1].select(F.col("start").alias("end"), F.col("end").alias("start"), F.col("nodes").alias("more"), F.col("used").alias("others"))
+        both = levels[(h + 1) // 2 - 1].join(back, ["start", "end"]).where(~F.arrays_overlap("used", "others"))
+        out = out.unionByName(both.select("start", F.concat("nodes", F.slice("more", 2, h)).alias("nodes"), F.lit(h).alias("hops")))
+    return out
+
+
 def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """seed, node, hop: every node that a seed reaches, with the least number of hops; the seeds' own nodes have hop 0.
 

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import store
 from ..operators.graph import CodeGraph, first_by
-from ..operators.traversal import closed_trails, joined, reach
+from ..operators.traversal import closed_by_halves, closed_trails, joined, reach
 from .base_sql import BASE, api_path, method, path_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 HOPS = 3  # callers and dependencies followed by the impact queries
 CYCLE_HOPS = 8
-REPO_CYCLE_HOPS = 2  # repositories that consume each other; longer trails over a dense graph have no bound
+REPO_CYCLE_HOPS = 5
 WORDS = ("refund", "gateway")  # of the keyword searches
 
 
@@ -61,7 +61,7 @@ rr AS (SELECT DISTINCT cRepo AS fromId, pRepo AS toId FROM c JOIN p ON c.m = p.m
 
 @query(_J24 + " SELECT a.fromId || ',' || a.toId || ',' || a.fromId AS repositories, 2 AS hops FROM rr a JOIN rr b ON a.toId = b.fromId AND b.toId = a.fromId")
 def q02_repo_cycles(g: CodeGraph) -> DataFrame:
-    return closed_trails(_repo_edges(g), REPO_CYCLE_HOPS).select(F.array_join("nodes", ",").alias("repositories"), F.col("hops").cast("bigint").alias("hops"))
+    return closed_by_halves(_repo_edges(g), REPO_CYCLE_HOPS).select(F.array_join("nodes", ",").alias("repositories"), F.col("hops").cast("bigint").alias("hops"))
 
 
 @query(

@@ -123,6 +123,32 @@ def test_trails(spark):
     assert closed_trails(e.limit(0), 3).count() == 0
 
 
+def test_repo_cycles_of_five_hops(spark, monkeypatch):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a"), ("b", "a"), ("c", "a"), ("e", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "a")]
+    monkeypatch.setattr(Q, "_repo_edges", lambda g: spark.createDataFrame(edges + edges[:2], "fromId string, toId string"))
+
+    def brute(path, used):
+        out = [(",".join(path), len(used))] if used and path[0] == path[-1] else []
+        for x in edges:
+            if x[0] == path[-1] and x not in used and len(used) < 5:
+                out += brute([*path, x[1]], [*used, x])
+        return out
+
+    want = sorted(x for s in "abcdexyzw" for x in brute([s], []))
+    assert sorted(map(tuple, Q.q02_repo_cycles(None).collect())) == want and {n for _, n in want} == {2, 3, 5}
+    monkeypatch.setattr(Q, "_repo_edges", lambda g: spark.createDataFrame([], "fromId string, toId string"))
+    assert Q.q02_repo_cycles(None).count() == 0
+
+
+def test_long_and_partly_open_templates(spark):
+    long = "/".join(f"s{k}" for k in range(14))
+    rows = [("consumed", f"/{long}/7/end"), ("provided", f"/{long}/{{id}}/end"), ("consumed", "/files/X-42.json"), ("provided", "/files/x-{id}.json"), ("provided", "/files/y-:id"), ("consumed", "/files/x-1/json"), ("consumed", "/files/x-.json"), ("consumed", "/a/1/b/2"), ("provided", "/a/:p/b/{q}")]
+    h = object.__new__(CodeGraph)
+    h.__dict__["apis"] = spark.createDataFrame(rows, "direction string, route string")
+    got = sorted((r["cPath"], r["pPath"]) for r in h.path_matches().collect())
+    assert got == sorted([(f"/{long}/7/end", f"/{long}/{{id}}/end"), ("/files/X-42.json", "/files/x-{id}.json"), ("/a/1/b/2", "/a/:p/b/{q}")])
+
+
 def test_reach(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c")], "fromId string, toId string")
     s = spark.createDataFrame([("S", "a")], "seed string, node string")
