@@ -79,20 +79,21 @@ def credential_name(name: str) -> bool:
 def secretish(v: str) -> bool:
     """True for a value that a credential name can hold as a working secret."""
     v = v.strip().strip("\"'`")
-    if not 6 <= len(v) <= 4096 or any(ch.isspace() for ch in v) or _PLACEHOLDER.search(v):
+    # a long value holds by chance the short words that mark a placeholder: there its beginning tells
+    if len(v) < 6 or any(ch.isspace() for ch in v) or _PLACEHOLDER.search(v if len(v) <= 4096 else v[:256]):
         return False
     if "://" in v or v.startswith(("/", "./", "~/")) or _UUID.fullmatch(v) or "(" in v or v.endswith((")", ";")):
         return False
     if not re.search(r"\d", v):
         letters = re.sub(r"[^A-Za-z]", "", v)
-        mixed = re.search(r"[a-z][A-Z]|[A-Z].*[a-z].*[A-Z]", v) and not v.isupper()
+        mixed = re.search(r"[a-z][A-Z]", v) or re.match(r"[^A-Z]*+[A-Z][^a-z]*+[a-z][^A-Z]*+[A-Z]", v)
         if not letters or not (re.search(r"[^\w.\-]", v) and len(v) >= 8 or mixed and len(v) >= 8):
             return False
         if re.fullmatch(r"[A-Z][a-z]+(?:-[A-Z][a-z]+)*", v):
             return False
     elif re.fullmatch(r"[\d.,:+-]+", v):
         return False
-    if credential_name(v) and re.fullmatch(r"[A-Za-z]+(?:[_.\-]?[A-Za-z]+)*\d?", v):
+    if credential_name(v) and re.fullmatch(r"[A-Za-z]+(?:[_.\-][A-Za-z]+)*\d?", v):
         return False
     return not re.fullmatch(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+", v)
 
@@ -145,9 +146,10 @@ def _address_secret(v: str) -> bool:
     return len(pw) >= 3 and not _PLACEHOLDER.search(pw) and not re.fullmatch(r"\d{1,5}", pw) and pw.lower() not in ("pass", "password", "pwd", "secret", "user", "geheim")
 
 
-def verify(text: str, rules, ext: str, plain: bool = False) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of each credential in a (joined) chunk, by the given candidate rules."""
+def verify(text: str, rules, ext: str, plain: bool = False, whole: str | None = None, at: int = 0) -> list[tuple[int, int, str]]:
+    """(start, end, rule) of each credential in a (joined) chunk, by the given candidate rules; a key block ends where it does in the whole text, of which the chunk starts ``at``."""
     rx, spans = _compiled(), []
+    whole, offset = (text, 0) if whole is None else (whole, at)
     for rule in rules:
         if rule == "named":
             continue
@@ -161,9 +163,11 @@ def verify(text: str, rules, ext: str, plain: bool = False) -> list[tuple[int, i
                 body = re.sub(r"\\[rn]|[\s\"'+`,;|\\>*#/-]", "", text[b : b + 400].split("-----END")[0])
                 if "ENCRYPTED" in v or len(re.match(r"[A-Za-z0-9/+=]*", body).group()) < 24:
                     continue
-                end = text.find("-----END", b)
-                close = re.compile(r"-----END [A-Z0-9 ]*-----").match(text, end) if end > 0 else None
-                b = close.end() if close else min(len(text), b + 64)
+                end = whole.find("-----END", offset + b)
+                close = re.compile(r"-----END [A-Z0-9 ]*-----").match(whole, end) if end > 0 else None
+                if close and end >= offset + len(text) and whole.find("-----BEGIN", offset + b, end) >= 0:
+                    close = None  # the end of another block
+                b = close.end() - offset if close else min(len(text), b + 64)
             elif rule == "address":
                 if not _address_secret(v):
                     continue
@@ -356,7 +360,7 @@ class Index:
 
 
 CHUNK = 6000  # characters of a chunk; a chunk ends at a line end
-MARGIN = 2600  # characters that a chunk shares with the next, longer than a key block
+MARGIN = 2600  # characters that a chunk shares with the next; key blocks may be longer
 
 
 def chunks_of(text: str) -> list[tuple[int, int, str]]:
@@ -384,7 +388,7 @@ def find_all(texts: list[str], exts: list[str]) -> list[list[tuple[int, int, str
     spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for (i, a, b), c, rules in zip(where, chunks, Index(chunks).candidates(), strict=True):
         if rules:
-            spans[i].extend((a + s, a + e, r) for s, e, r in verify(c, rules, exts[i]) if a + s < b)
+            spans[i].extend((a + s, a + e, r) for s, e, r in verify(c, rules, exts[i], whole=views[i][0], at=a) if a + s < b)
     return [[(_original(views[i][1], s), _original(views[i][1], e - 1) + 1, r) for s, e, r in _merge(got)] for i, got in enumerate(spans)]
 
 
