@@ -54,7 +54,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each function with telling documentation, its description, and what an older scan says that it returns."""
+    """Each function with telling documentation, its description, and what an older scan says that it returns; valid is false where the file does not parse."""
     files = table(spark, d, "file_info").select(F.col("fileId").alias("file_id"), F.col("absPath")).dropDuplicates(["file_id"])
     known = (
         table(spark, d, "function_entity")
@@ -62,11 +62,11 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
         .groupBy(F.concat_ws("/", "repoRoot", "file").alias("absPath"), F.col("name").alias("func_name"))
         .agg(F.min("returns").alias("returns"), F.lit(True).alias("listed"))
     )
-    pairs = telling(documented_functions(table(spark, d, "file_info"))).select("file_id", "line_no", "func_name", "description")
+    pairs = telling(documented_functions(table(spark, d, "file_info"), broken=True)).select("file_id", "line_no", "func_name", "description", "valid")
     return (
         pairs.join(files, "file_id", "left")
         .join(known, ["absPath", "func_name"], "left")
-        .select("file_id", "line_no", "func_name", "description", "returns", F.coalesce("listed", F.lit(False)).alias("listed"))
+        .select("file_id", "line_no", "func_name", "description", "returns", F.coalesce("listed", F.lit(False)).alias("listed"), "valid")
     )
 
 

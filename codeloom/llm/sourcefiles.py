@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .handwritten import extension
 
 LANGUAGES = {"js": "js", "jsx": "js", "ts": "ts", "tsx": "tsx", "py": "py", "java": "java", "cs": "cs"}
-TEMPLATE_SHARE, TEMPLATE_LEAST = 0.005, 20  # a description is a template if so large a share, and so many, of all functions bear it
+TEMPLATE_SHARE, TEMPLATE_LEAST = 0.002, 20  # a description is a template if functions of so many names bear it, and of so large a share of all pairs of description and name
 
 
 def _parsable(files: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ def error_rates(files: DataFrame) -> DataFrame:
 # --- problem 5 -------------------------------------------------------------------------------------
 
 
-def documented_functions(files: DataFrame) -> DataFrame:
-    """file_id, line_no, func_name, description, says_more, of each documented function in a valid file; one row for each function.
+def documented_functions(files: DataFrame, broken: bool = False) -> DataFrame:
+    """file_id, line_no, func_name, description, says_more, valid of each documented function in a valid file, with ``broken`` in every file; one row for each function.
 
     The description's key is a digest of its text in lower case; ``telling`` drops the templates.
     """
@@ -94,25 +94,29 @@ def documented_functions(files: DataFrame) -> DataFrame:
             rows = []
             for fid, ext, text in zip(pdf["file_id"], pdf["ext"], pdf["content"], strict=True):
                 found = documented(text, LANGUAGES[ext]) if text.strip() else []
-                if found and error_line(text, ext) == 0:
+                if found:
+                    valid = error_line(text, ext) == 0
+                    if not valid and not broken:
+                        continue
                     for line, name, head, description, _ in found:
                         key = hashlib.md5(" ".join(description.lower().split()).encode()).digest()[:8]
-                        rows.append((fid, line, name, description, int.from_bytes(key, "big", signed=True), says_more(description, head)))
-            yield pd.DataFrame(rows, columns=["file_id", "line_no", "func_name", "description", "key", "says_more"])
+                        rows.append((fid, line, name, description, int.from_bytes(key, "big", signed=True), says_more(description, head), valid))
+            yield pd.DataFrame(rows, columns=["file_id", "line_no", "func_name", "description", "key", "says_more", "valid"])
 
-    out = _parsable(files).mapInPandas(run, "file_id bigint, line_no bigint, func_name string, description string, key bigint, says_more boolean")
+    out = _parsable(files).mapInPandas(run, "file_id bigint, line_no bigint, func_name string, description string, key bigint, says_more boolean, valid boolean")
     return cut(out.dropDuplicates(["file_id", "line_no", "func_name"]))
 
 
 def telling(functions: DataFrame) -> DataFrame:
     """The functions whose description says more than their head and is no template of the corpus.
 
-    At most 1 / TEMPLATE_SHARE texts can be templates, so that their table is broadcast.
+    Names are counted, not functions: copies of a file add none.
     """
-    counts = functions.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = functions.agg(F.count(F.lit(1)).alias("total"))
+    named = functions.select("key", "func_name").distinct()
+    counts = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
     templates = counts.join(F.broadcast(total)).where((F.col("n") >= TEMPLATE_LEAST) & (F.col("n") >= TEMPLATE_SHARE * F.col("total"))).select("key")
-    return functions.where("says_more").join(F.broadcast(templates), "key", "left_anti")
+    return functions.where("says_more").join(templates, "key", "left_anti")
 
 
 # --- problem 3 -------------------------------------------------------------------------------------
