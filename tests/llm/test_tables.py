@@ -99,21 +99,55 @@ def test_near(a, b, want):
 def test_pack_shard_limits():
     r = np.random.default_rng(4)
     n = r.integers(1, 1500, 800)
-    rows = packing.pack_shard(np.arange(800), n, (n * r.random(800)).astype(int), 1024, 12, 700)
+    loss = (n * r.random(800)).astype(int)
+    rows = packing.pack_shard(np.arange(800), n, loss, 1024, 12, 700)
     by: dict = {}
-    for d, part, tok, loss, c in rows:
-        b = by.setdefault(c, [0, 0, 0])
-        b[0], b[1], b[2] = b[0] + tok, b[1] + 1, b[2] + loss
-    assert all(t <= 1024 and s <= 12 and x <= 700 for t, s, x in by.values())
-    got: dict = {}
-    for d, _, tok, _, _ in rows:
-        got[d] = got.get(d, 0) + tok
-    assert got == dict(enumerate(n.tolist()))  # whole, and split only where longer
+    for d, part, tok, x, c in rows:
+        b = by.setdefault(c, [0, 0, 0, []])
+        b[0], b[1], b[2] = b[0] + tok, b[1] + 1, b[2] + x
+        b[3].append(x)
+    assert all(t <= 1024 and s <= 12 for t, s, _, _ in by.values())
+    # a whole text above the loss limit is alone with its true count: nothing else there bears loss
+    assert all(x <= 700 or max(each) == x and max(each) <= 1024 for _, _, x, each in by.values())
+    got, bore = {}, {}
+    for d, _, tok, x, _ in rows:
+        got[d], bore[d] = got.get(d, 0) + tok, bore.get(d, 0) + x
+    assert got == dict(enumerate(n.tolist())) and bore == dict(enumerate(loss.tolist()))  # whole, no count cut
     parts = {d for d, part, *_ in rows if part}
-    assert parts == {k for k, v in enumerate(n) if v > 1024}
+    assert parts == {k for k, v in enumerate(n) if v > 1024}  # split only where longer
     assert packing.pack_shard(np.empty(0, int), np.empty(0, int), np.empty(0, int), 10, 2, 10) == []
 
 
+@pytest.mark.parametrize("n, loss, segments, loss_cap, full", [([60] * 40, [0] * 40, 100, 100, (120, 2, 0)), ([10] * 40, [0] * 40, 4, 100, (40, 4, 0)), ([30] * 40, [30] * 40, 100, 60, (60, 2, 60))])
+def test_each_limit_binds(n, loss, segments, loss_cap, full):
+    by: dict = {}
+    for _, _, tok, x, c in packing.pack_shard(np.arange(40), np.array(n), np.array(loss), 128, segments, loss_cap):
+        b = by.setdefault(c, [0, 0, 0])
+        b[0], b[1], b[2] = b[0] + tok, b[1] + 1, b[2] + x
+    assert {tuple(b) for b in by.values()} == {full}
+
+
+def test_dot_product_equals_brute_force():
+    r = np.random.default_rng(8)
+    n = r.integers(1, 90, 60)
+    x = (n * r.choice([0, 0.5, 1], 60)).astype(int)
+    rows = packing.pack_shard(np.arange(60), n, x, 100, 5, 70)
+    left = {(int(a), int(b)): 0 for a, b in zip(n, x)}
+    for a, b in zip(n, x):
+        left[(int(a), int(b))] += 1
+    heavy = {c for _, _, _, b, c in rows if b > 70}
+    room, at = None, -1
+    for _, _, a, b, c in rows:
+        if c != at:
+            room, at = [100, 5, 70], c
+        if not (c in heavy and room[1] == 5):
+            dot = {k: k[0] * room[0] / 1e4 + k[1] * room[2] / 4900 for k, v in left.items() if v and k[0] <= room[0] and k[1] <= room[2]}
+            assert dot[(a, b)] == pytest.approx(max(dot.values()))
+        left[(a, b)] -= 1
+        room = [room[0] - a, room[1] - 1, max(0, room[2] - b)]
+    assert not any(left.values())
+
+
 def docs(spark):
     rows = [(k, "word " * (5 + k % 50), "A" if k % 3 else "b", 1) for k in range(600)] + [(900, None, "a", 1), (901, "", "a", 1), (902, "```\ncode\n```\nshown", None, 1), (903, "long " * 3000, "c", 1)]
     return spark.createDataFrame(rows, "doc_id bigint, text string, source string, tokens int")
@@ -146,12 +180,44 @@ def test_mix(spark):
 
 def test_temperature():
     p, size, a = packing.temperature_weights({"x": 0.9, "y": 0.1}, {"x": 100.0, "y": 1000.0}, {"x": 2.0, "y": 1.0})
-    assert a == 0 and size == pytest.approx(200 / 0.9) and p["x"] == pytest.approx(0.9)
+    assert a == pytest.approx(0, abs=1e-9) and size == pytest.approx(200 / 0.9) and p["x"] == pytest.approx(0.9)
     p, size, a = packing.temperature_weights({"x": 0.9, "y": 0.1}, {"x": 100.0, "y": 1000.0}, {"x": 2.0, "y": 1.0}, 600.0)
     assert 0 < a < 1 and p["x"] * size <= 200.001 and p["x"] * size > 199
     assert packing.temperature_weights({"x": 1.0}, {}, {"x": 1.0}) == ({}, 0.0, 0.0)
 
 
+def test_exponent_by_tolerance_and_entropy():
+    w, sizes, limits = {"x": 0.5, "y": 0.3, "z": 0.2}, {"x": 100.0, "y": 1000.0, "z": 4000.0}, {"x": 2.0, "y": 1.0, "z": 1.0}
+    p, size, a = packing.temperature_weights(w, sizes, limits, tolerance=0.01)
+    assert 0 < a < 1 and max(abs(p[s] - w[s]) for s in w) == pytest.approx(0.01, abs=1e-6) and size > 200 / 0.5
+    h = lambda p: -sum(v * np.log(v) for v in p.values())
+    p, size, a = packing.temperature_weights(w, sizes, limits, entropy=0.8)
+    assert 0 < a < 1 and h(p) == pytest.approx(0.8, abs=1e-6) and all(p[s] * size <= limits[s] * sizes[s] * 1.0001 for s in p)
+
+
+def test_nearest_and_repeats():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        sizes = r.integers(5, 60, 12).astype(float)
+        goal = float(r.integers(20, 300))
+        sums = [float(sizes[[bool(k >> i & 1) for i in range(12)]].sum()) for k in range(1 << 12)]
+        assert abs(sizes[packing.nearest(sizes, goal)].sum() - goal) <= min(abs(x - goal) for x in sums) + 3
+    assert packing.nearest(np.array([10.0]), 6.0).tolist() == [True] and packing.nearest(np.array([10.0]), 4.0).tolist() == [False]
+    assert packing.repeats(np.array([10.0, 30.0]), 70.0, 4, 1.0).tolist() == [3, 1] or packing.repeats(np.array([10.0, 30.0]), 70.0, 4, 1.0) @ [10, 30] == 70
+
+
+def test_mix_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(packing, "BLOCK_GROUPS", 8)
+    r = random.Random(4)
+    counts = spark.createDataFrame([(k, "ab"[k % 3 == 0], r.randint(5, 90)) for k in range(3000)], "doc_id bigint, source string, tokens bigint")
+    goals = spark.createDataFrame([("m", "a", 0.8, 1), ("m", "b", 0.2, 3), ("n", "b", 1.0, 2)], "mix_name string, source string, weight double, max_repeats int")
+    chosen = packing.mix(counts, goals, budget=20_000.0)
+    got = {(x["mix_name"], x["source"]): x["t"] for x in chosen.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t")).collect()}
+    assert all(abs(got[k] - goal) <= packing.TOLERANCE * 20_000 / 4 for k, goal in {("m", "a"): 16_000, ("m", "b"): 4_000, ("n", "b"): 20_000}.items())
+    assert chosen.groupBy("mix_name", "doc_id").count().where("count > 1").count() == 0
+
+
 # --- problem 8 ---
 
 BAD = ["You are a total m0ron, reviewer 2.", "Kill yourself, @bob.", "Shut up, i-d-i-o-t, nobody asked you.", "Women are vermin and should never be allowed near a compiler.", "Show me your t*ts on the next call.", "Du bist so ein Vollidiot, my friend.", "Ferme ta gueule, espèce d'abruti."]
