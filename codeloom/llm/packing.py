@@ -16,7 +16,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pre-tokenizer pattern that belongs to that public vocabulary. Fixed value.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 SHARD_ROWS = 50_000  # documents packed together in one task
-SEGMENTS = 0.75  # segments that a container may hold, by the square root of its capacity
+SEGMENTS = (6, 1 / 32)  # segments that a container may hold: so many, and a share of its capacity
 LOSS_SHARE = 0.99  # loss-bearing tokens that a container may hold, as a share of its capacity
 SHOWN_SOURCES = ("prompt",)  # sources whose documents are instructions: a model is shown them and not trained to write them
 BLOCK_TOKENS = 2_000_000  # tokens of a hash block of a source's permutation, about
@@ -135,7 +135,7 @@ def pack(counts: DataFrame, specs: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cap, name, shard = int(pdf["capacity"].iloc[0]), pdf["spec_name"].iloc[0], int(pdf["shard"].iloc[0])
-        rows = pack_shard(pdf["doc_id"].to_numpy(), pdf["tokens"].to_numpy(), pdf["loss_tokens"].to_numpy(), cap, max(1, round(SEGMENTS * math.sqrt(cap))), max(1, int(LOSS_SHARE * cap)))
+        rows = pack_shard(pdf["doc_id"].to_numpy(), pdf["tokens"].to_numpy(), pdf["loss_tokens"].to_numpy(), cap, int(SEGMENTS[0] + SEGMENTS[1] * cap), max(1, int(LOSS_SHARE * cap)))
         out = pd.DataFrame(rows, columns=["doc_id", "part", "tokens", "loss_tokens", "container"])
         out["container"] = [f"{name}-{shard}-{k}" for k in out["container"]]
         out.insert(0, "spec_name", name)
