@@ -1,9 +1,9 @@
-"""Credentials in texts: detection regexes, a trigram index that picks their candidates, verification and redaction.
+"""Credentials in texts: detection regexes, the trigrams that they need, verification and redaction.
 
-``Index`` builds postings (trigram -> chunks) over a batch of chunks, restricted to the trigrams that
-some regex needs.  The trigrams are derived from the regexes (``required_trigrams``): every match of a
-regex contains all trigrams of at least one of its alternatives, so intersecting their postings loses
-no match, and the regexes run on candidate chunks only.
+The trigrams are derived from the regexes (``required_trigrams``): every match of a regex contains all
+trigrams of at least one of its alternatives.  ``gram_rows`` gives a text's postings, chunk by chunk;
+``sourcefiles`` keeps them as a table of the whole collection and intersects it, so that ``verify``
+runs a rule on a text only if the index holds all trigrams of one of the rule's alternatives for it.
 """
 
 from __future__ import annotations
@@ -48,13 +48,15 @@ _OTHER_NAME = re.compile(
     r"(?:^|_)(?:label|hint|question|header|ttl|length|len|min|max|days|rotation|enabled|public|pub|cert|certificate|checksum|integrity|icon|logo|uuid|request|correlation|sha|hash|etag|url|uri|endpoint"
     r"|path|file|type|expiry|expires|expiration|count|limit|size|timeout|prefix|pattern|regex|manager|title|placeholder|message|help|policy|field|column|attempts|retries|rounds|strength)\d*(?:_|$)"
 )
-_PLACEHOLDER = re.compile(
+_OPENS = (
     r"^(?:\$|\{|<|%\(|%[A-Z_]+%$|@@|\[|vault:|ENC\(|enc:|encrypted|arn:|ssm:|aws:|env:|file:|secretsmanager|ref\+|op://|keyring:|kms:|cipher|sops|AES\d*[:(]|\{cipher\}"
     r"|sha\d+[-:]|md5[-:]|ssh-(?:ed25519|rsa|dss)|ecdsa-|data:|-----BEGIN|\$2[aby]\$|argon2|pbkdf2|process\.env|os\.environ|getenv)"
-    r"|^(?:x+|\*+|\.+|-+|_+|#+|•+|\?+|0+|1234567?8?9?0?)$|change.?me|replace|your[-_ .]|[-_ .]here\b|example(?!\.)|dummy|place.?holder|todo|fixme|redact|mask|not.?set|unset|insert|fill.?in|<.*>"
-    r"|^(?:none|null|nil|undefined|true|false|yes|no|default|test|sample|foo|bar|password|passwort|secret|token|n/a|tbd|empty)$|\$\{|\{\{|x{4,}|\*{3,}",
-    re.I,
+    r"|^(?:x+|\*+|\.+|-+|_+|#+|•+|\?+|0+|1234567?8?9?0?)$|^(?:none|null|nil|undefined|true|false|yes|no|default|test|sample|foo|bar|password|passwort|secret|token|n/a|tbd|empty)$"
 )
+_HOLDS = r"change.?me|replace|your[-_ .]|[-_ .]here\b|example(?!\.)|dummy|place.?holder|todo|fixme|redact|mask|not.?set|unset|insert|fill.?in|<.*>|\$\{|\{\{|x{4,}|\*{3,}"
+_PLACEHOLDER = re.compile(f"{_OPENS}|{_HOLDS}", re.I)
+_LONG_PLACEHOLDER = re.compile(rf"{_OPENS}|(?<![A-Za-z0-9])(?:{_HOLDS})(?![A-Za-z0-9])", re.I)
+LONG = 256  # characters from which a value holds short words by chance: there only whole words mark a placeholder
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 _JOIN = re.compile(r"([\"'`])[ \t]*(?:\+|\.\.|\\)?[ \t]*\\?(?:\r?\n[ \t]*)?(?:\+[ \t]*)?\1")
 _SETTINGS = re.compile(r"(?:[\w .]++=[^;\"'\n=]*;[ \t]*)+$")
@@ -79,8 +81,7 @@ def credential_name(name: str) -> bool:
 def secretish(v: str) -> bool:
     """True for a value that a credential name can hold as a working secret."""
     v = v.strip().strip("\"'`")
-    # a long value holds by chance the short words that mark a placeholder: there its beginning tells
-    if len(v) < 6 or any(ch.isspace() for ch in v) or _PLACEHOLDER.search(v if len(v) <= 4096 else v[:256]):
+    if len(v) < 6 or any(ch.isspace() for ch in v) or (_PLACEHOLDER if len(v) < LONG else _LONG_PLACEHOLDER).search(v):
         return False
     if "://" in v or v.startswith(("/", "./", "~/")) or _UUID.fullmatch(v) or "(" in v or v.endswith((")", ";")):
         return False
@@ -146,10 +147,24 @@ def _address_secret(v: str) -> bool:
     return len(pw) >= 3 and not _PLACEHOLDER.search(pw) and not re.fullmatch(r"\d{1,5}", pw) and pw.lower() not in ("pass", "password", "pwd", "secret", "user", "geheim")
 
 
-def verify(text: str, rules, ext: str, plain: bool = False, whole: str | None = None, at: int = 0) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of each credential in a (joined) chunk, by the given candidate rules; a key block ends where it does in the whole text, of which the chunk starts ``at``."""
+_KEY_JOINT = r"(?:\\[rn]|[\s\"'+`,;|\\>*#/-])*+"
+_KEY_BEGINS = re.compile(rf"{_KEY_JOINT}(?:[A-Za-z0-9/+=]{_KEY_JOINT}){{24}}")
+_KEY_GOES_ON = re.compile(rf"(?:(?:\\[rn]|[\s\"'+`,;|\\])*+[A-Za-z0-9/+=]{{16,}}+)*+")
+_KEY_ENDS = re.compile(r"-----END [A-Z0-9 ]*-----")
+
+
+def _key_block(text: str, at: int) -> int:
+    """End of the key block whose BEGIN line ends ``at``: behind its END line, or of its lines where that is missing; -1 without a key."""
+    end = text.find("-----END", at)
+    if not _KEY_BEGINS.match(text, at, end if end >= 0 else len(text)):
+        return -1
+    close = _KEY_ENDS.match(text, end) if end >= 0 and text.find("-----BEGIN", at, end) < 0 else None
+    return close.end() if close else _KEY_GOES_ON.match(text, at).end()
+
+
+def verify(text: str, rules, ext: str) -> list[tuple[int, int, str]]:
+    """(start, end, rule) of each credential in a (joined) text, by the given candidate rules."""
     rx, spans = _compiled(), []
-    whole, offset = (text, 0) if whole is None else (whole, at)
     for rule in rules:
         if rule == "named":
             continue
@@ -160,14 +175,10 @@ def verify(text: str, rules, ext: str, plain: bool = False, whole: str | None =
                 if _PLACEHOLDER.search(v) and not rule == "jwt" and re.search(r"x{4,}|example|your", v, re.I):
                     continue
             elif rule == "pem":
-                body = re.sub(r"\\[rn]|[\s\"'+`,;|\\>*#/-]", "", text[b : b + 400].split("-----END")[0])
-                if "ENCRYPTED" in v or len(re.match(r"[A-Za-z0-9/+=]*", body).group()) < 24:
+                end = -1 if "ENCRYPTED" in v else _key_block(text, b)
+                if end < 0:
                     continue
-                end = whole.find("-----END", offset + b)
-                close = re.compile(r"-----END [A-Z0-9 ]*-----").match(whole, end) if end > 0 else None
-                if close and end >= offset + len(text) and whole.find("-----BEGIN", offset + b, end) >= 0:
-                    close = None  # the end of another block
-                b = close.end() - offset if close else min(len(text), b + 64)
+                b = end
             elif rule == "address":
                 if not _address_secret(v):
                     continue
@@ -176,7 +187,7 @@ def verify(text: str, rules, ext: str, plain: bool = False, whole: str | None =
                 if _PLACEHOLDER.search(pw) or len(pw) < 4:
                     continue
                 # the address begins with the settings before the password
-                before = _SETTINGS.search(text[max(0, a - 400) : a])
+                before = _SETTINGS.search(text[1 + max(text.rfind(ch, 0, a) for ch in "\"'\n") : a])
                 a -= len(before.group().lstrip()) if before else 0
                 a += len(text[a:b]) - len(text[a:b].lstrip())
             elif rule == "basic":
@@ -194,8 +205,6 @@ def verify(text: str, rules, ext: str, plain: bool = False, whole: str | None =
                 if not plain_text or not any(rx[k].match(plain_text) for k in ("key_id", "provider", "jwt", "pem")):
                     continue
             spans.append((a, b, rule))
-    if plain:
-        return spans
     if "named" in rules:
         gate = rx["named"]
         code = ext in _CODE_EXT
@@ -314,104 +323,63 @@ def _needs() -> tuple[dict[str, list[frozenset[int]] | None], np.ndarray]:
     return needs, table
 
 
-class Index:
-    """Postings of the needed trigrams over chunks; ``candidates`` intersects them for each rule."""
+CHUNK, MARGIN = 6000, 64  # characters of a chunk of the index, and those that it shares with the next
 
-    def __init__(self, chunks: list[str]):
-        self.n = len(chunks)
-        _, table = _needs()
-        grams, owners = [], []
-        for i, c in enumerate(chunks):
-            b = np.frombuffer(c.lower().encode("utf-8", "replace"), dtype=np.uint8).astype(np.int32)
-            if len(b) < 3:
-                continue
+
+def gram_rows(view: str) -> list[tuple[int, list[int]]]:
+    """(chunk, trigrams that some rule needs) of each chunk of a joined text that holds any."""
+    _, table = _needs()
+    out = []
+    for k, a in enumerate(range(0, len(view), CHUNK)):
+        b = np.frombuffer(view[a : a + CHUNK + MARGIN].lower().encode("utf-8", "replace"), dtype=np.uint8).astype(np.int32)
+        if len(b) >= 3:
             g = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
             g = np.unique(g[table[g]])
-            grams.append(g)
-            owners.append(np.full(len(g), i, dtype=np.int32))
-        g = np.concatenate(grams) if grams else np.empty(0, np.int32)
-        o = np.concatenate(owners) if owners else np.empty(0, np.int32)
-        order = np.argsort(g, kind="stable")
-        g, o = g[order], o[order]
-        keys, first = np.unique(g, return_index=True)
-        self.postings = {int(k): o[a:b] for k, a, b in zip(keys, first, [*first[1:], len(o)])} if len(keys) else {}
-
-    def candidates(self) -> list[list[str]]:
-        """The rules that may match each chunk."""
-        out: list[list[str]] = [[] for _ in range(self.n)]
-        none = np.empty(0, np.int32)
-        for rule, sets in _needs()[0].items():
-            if sets is None:
-                hits = np.arange(self.n)
-            else:
-                parts = []
-                for s in sets:
-                    lists = sorted((self.postings.get(t, none) for t in s), key=len)
-                    got = lists[0]
-                    for other in lists[1:]:
-                        if not len(got):
-                            break
-                        got = np.intersect1d(got, other, assume_unique=True)
-                    parts.append(got)
-                hits = np.unique(np.concatenate(parts)) if parts else none
-            for i in hits:
-                out[i].append(rule)
-        return out
-
-
-CHUNK = 6000  # characters of a chunk; a chunk ends at a line end
-MARGIN = 2600  # characters that a chunk shares with the next; key blocks may be longer
-
-
-def chunks_of(text: str) -> list[tuple[int, int, str]]:
-    """(start, end of the part whose findings count, text with its margin) of each chunk of whole lines."""
-    if len(text) <= CHUNK + MARGIN:
-        return [(0, len(text), text)]
-    out, a = [], 0
-    while a < len(text):
-        b = text.find("\n", a + CHUNK)
-        b = len(text) if b < 0 or len(text) - b < MARGIN else b + 1
-        e = len(text) if b == len(text) else text.find("\n", min(len(text) - 1, b + MARGIN))
-        out.append((a, b, text[a : len(text) if e < 0 else e + 1]))
-        a = b
+            if len(g):
+                out.append((k, g.tolist()))
     return out
 
 
-def find_all(texts: list[str], exts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """Credential spans, in offsets of each text, of a batch of texts: index, intersect, verify."""
-    views = [joined(t) for t in texts]
-    chunks, where = [], []
-    for i, (view, _) in enumerate(views):
-        for a, b, c in chunks_of(view):
-            chunks.append(c)
-            where.append((i, a, b))
-    spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (i, a, b), c, rules in zip(where, chunks, Index(chunks).candidates(), strict=True):
-        if rules:
-            spans[i].extend((a + s, a + e, r) for s, e, r in verify(c, rules, exts[i], whole=views[i][0], at=a) if a + s < b)
-    return [[(_original(views[i][1], s), _original(views[i][1], e - 1) + 1, r) for s, e, r in _merge(got)] for i, got in enumerate(spans)]
+def alternatives() -> list[tuple[str, int, int, int]]:
+    """(rule, alternative, trigram, trigrams of the alternative) of every rule; a rule without derivable trigrams would have none and is run everywhere."""
+    return [(rule, k, t, len(s)) for rule, sets in _needs()[0].items() for k, s in enumerate(sets or ()) for t in sorted(s)]
 
 
-def in_value(value: str, name: str) -> list[tuple[int, int, str]]:
-    """Credential spans of one configuration value under its name."""
+def everywhere() -> list[str]:
+    """The rules that no trigrams can be derived for."""
+    return [rule for rule, sets in _needs()[0].items() if sets is None]
+
+
+def find(text: str, ext: str, rules) -> list[tuple[int, int, str]]:
+    """Credential spans of a text, in its offsets, by its candidate rules."""
+    view, pieces = joined(text)
+    return [(_original(pieces, a), _original(pieces, b - 1) + 1, r) for a, b, r in _merge(verify(view, rules, ext))]
+
+
+def bare(value: str) -> tuple[int, str]:
+    """(offset, text) of a configuration value within its blanks and quotes."""
     inner = value.strip()
-    q = len(inner) >= 2 and inner[0] == inner[-1] and inner[0] in "\"'"
-    body = inner[1:-1] if q else inner
-    at = value.index(body) if body else 0
-    spans = [s for s in find_all([body], ["value"])[0] if s[2] != "named"]
+    body = inner[1:-1] if len(inner) >= 2 and inner[0] == inner[-1] and inner[0] in "\"'" else inner
+    return (value.index(body) if body else 0), body
+
+
+def in_value(value: str, name: str, rules) -> list[tuple[int, int, str]]:
+    """Credential spans of one configuration value under its name, by its candidate rules."""
+    at, body = bare(value)
+    spans = find(body, "value", [r for r in rules if r != "named"])
     if not spans and credential_name(name or "") and secretish(body):
         spans = [(0, len(body), "named")]
     return [(at + a, at + b, r) for a, b, r in spans]
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with each span's letters and digits replaced by the rule's mark; quotes, joints, line ends and all around stay."""
+    """The text with each span replaced by the rule's mark, or in parts where it goes over joints or line ends; quotes, joints, line ends and all around stay, and no length shows."""
     out, last = [], 0
     for a, b, rule in spans:
         out.append(text[last:a])
         value = text[a:b]
         if re.search(r"[\"'`]\s*\+|\n|\\n", value):
-            out.append(re.sub(r"(?<!\\)[A-Za-z0-9/=](?![\"'`]?\s*\+\s*$)", "x", value))
+            out.append(re.sub(r"(?<!\\)[A-Za-z0-9/=]+", "xxxxxxxx", value))
         else:
             out.append(f"REDACTED_{rule.upper()}")
         last = b

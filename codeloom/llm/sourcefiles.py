@@ -132,35 +132,69 @@ def _credential_source(files: DataFrame, configs: DataFrame) -> DataFrame:
     return f.unionByName(c)
 
 
-def _spans(kind: list[str], label: list[str], text: list[str]) -> list[list[tuple[int, int, str]]]:
-    from .secrets import find_all, in_value
+_KEY = ["record_kind", "record_id"]
 
-    out: list = [None] * len(text)
-    at = [i for i, k in enumerate(kind) if k == "file"]
-    for i, s in zip(at, find_all([text[i] for i in at], [label[i] for i in at]), strict=True):
-        out[i] = s
-    for i, k in enumerate(kind):
-        if k != "file":
-            out[i] = in_value(text[i], label[i])
-    return out
+
+def postings(texts: DataFrame) -> DataFrame:
+    """trigram, record_kind, record_id, chunk: the index of the collection, a row for each needed trigram of each chunk, once however often a text was delivered."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .secrets import bare, gram_rows, joined
+
+        for pdf in batches:
+            rows = []
+            for kind, rid, text in zip(pdf["record_kind"], pdf["record_id"], pdf["text"], strict=True):
+                rows.extend((grams, kind, rid, chunk) for chunk, grams in gram_rows(joined(text if kind == "file" else bare(text)[1])[0]))
+            yield pd.DataFrame(rows, columns=["trigrams", "record_kind", "record_id", "chunk"])
+
+    found = texts.mapInPandas(run, "trigrams array<int>, record_kind string, record_id string, chunk int")
+    return found.select(F.explode("trigrams").alias("trigram"), *_KEY, "chunk").distinct()
+
+
+def candidates(index: DataFrame) -> DataFrame:
+    """record_kind, record_id, rules: the rules of which some alternative's trigrams are all in the record, by intersecting postings.
+
+    The intersection is over the record's chunks together, so that a match may be of any length.
+    """
+    from .secrets import alternatives
+
+    needs = index.sparkSession.createDataFrame(alternatives(), "rule string, alternative int, trigram int, needed int")  # as many rows as the rules' literals have trigrams
+    held = index.select("trigram", *_KEY).distinct().join(F.broadcast(needs), "trigram").groupBy(*_KEY, "rule", "alternative").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"))
+    return held.where("n = needed").groupBy(*_KEY).agg(F.collect_set("rule").alias("rules"))
+
+
+def _with_rules(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """The texts that are to be verified, with the rules to run on each: files that are candidates, and configuration values, which their names may tell too."""
+    from ..session import cut
+    from .secrets import everywhere
+
+    texts = _credential_source(files, configs)
+    hits = candidates(cut(postings(texts)))
+    rules = F.array_union(F.coalesce("rules", F.array().cast("array<string>")), F.array(*map(F.lit, everywhere())).cast("array<string>"))
+    return texts.join(hits, _KEY, "left").select(*_KEY, "label", "text", rules.alias("rules")).where("record_kind = 'config' OR size(rules) > 0")
+
+
+def _spans(pdf: pd.DataFrame) -> list[list[tuple[int, int, str]]]:
+    from .secrets import find, in_value
+
+    return [find(text, label, rules) if kind == "file" else in_value(text, label, rules) for kind, label, text, rules in zip(pdf["record_kind"], pdf["label"], pdf["text"], pdf["rules"], strict=True)]
 
 
 def credentials(files: DataFrame, configs: DataFrame) -> DataFrame:
     """record_kind, record_id, line_no, rule of each line on which the value of a credential starts, once.
 
-    Texts stay in their partitions: the trigram postings are built over the chunks of a batch,
-    intersected and verified there; only the findings are moved.
+    The trigram index is a table in the checkpoint folder; texts are read again and verified where
+    the index makes them candidates.  Null and empty texts give nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kind, rid, text = pdf["record_kind"].tolist(), pdf["record_id"].tolist(), pdf["text"].tolist()
             rows = []
-            for k, r, t, spans in zip(kind, rid, text, _spans(kind, pdf["label"].tolist(), text), strict=True):
+            for k, r, t, spans in zip(pdf["record_kind"], pdf["record_id"], pdf["text"], _spans(pdf), strict=True):
                 rows.extend((k, r, t.count("\n", 0, a) + 1 if k == "file" else 1, rule) for a, _, rule in spans)
             yield pd.DataFrame(rows, columns=["record_kind", "record_id", "line_no", "rule"])
 
-    found = _credential_source(files, configs).mapInPandas(run, "record_kind string, record_id string, line_no bigint, rule string")
+    found = _with_rules(files, configs).mapInPandas(run, "record_kind string, record_id string, line_no bigint, rule string")
     return found.groupBy("record_kind", "record_id", "line_no").agg(F.min("rule").alias("rule"))
 
 
@@ -171,8 +205,7 @@ def redacted(files: DataFrame, configs: DataFrame) -> DataFrame:
         from .secrets import redact
 
         for pdf in batches:
-            kind, rid, text = pdf["record_kind"].tolist(), pdf["record_id"].tolist(), pdf["text"].tolist()
-            rows = [(k, r, len(s), redact(t, s)) for k, r, t, s in zip(kind, rid, text, _spans(kind, pdf["label"].tolist(), text), strict=True) if s]
+            rows = [(k, r, len(s), redact(t, s)) for k, r, t, s in zip(pdf["record_kind"], pdf["record_id"], pdf["text"], _spans(pdf), strict=True) if s]
             yield pd.DataFrame(rows, columns=["record_kind", "record_id", "n_redacted", "text"])
 
-    return _credential_source(files, configs).mapInPandas(run, "record_kind string, record_id string, n_redacted bigint, text string").dropDuplicates(["record_kind", "record_id"])
+    return _with_rules(files, configs).mapInPandas(run, "record_kind string, record_id string, n_redacted bigint, text string").dropDuplicates(["record_kind", "record_id"])
