@@ -42,7 +42,7 @@ _SPLIT = re.compile(r"([a-z0-9])([A-Z])")
 # Words of names that hold credentials, and of names that only speak of them. Fixed values.
 _CRED_NAME = re.compile(
     r"(?:^|_)(?:pass|passwd|passwort|password|passphrase|pwd|pw|kennwort|mot_de_passe|contrasena|clave|secret|token|tok|bearer|creds?|credentials?|login|salt|hmac|authorization"
-    r"|api_?key|(?:master|signing|access|private|encryption|client|aws|tls|deploy|account|service|root)_key|key_id)\d*(?:_|$)"
+    r"|(?:api|master|signing|access|private|encryption|client|aws|tls|deploy|account|service|root)_?key|key_?id)\d*(?:_|$)"
 )
 _OTHER_NAME = re.compile(
     r"(?:^|_)(?:label|hint|question|header|ttl|length|len|min|max|days|rotation|enabled|public|pub|cert|certificate|checksum|integrity|icon|logo|uuid|request|correlation|sha|hash|etag|url|uri|endpoint"
@@ -218,6 +218,8 @@ def verify(text: str, rules, ext: str) -> list[tuple[int, int, str]]:
             if not names:
                 continue
             first = names[0].end()
+            if names[0].start() and line[names[0].start() - 1] in "\"'`" and line[first : first + 1] == line[names[0].start() - 1]:
+                first += 1  # a quoted name: its closing quote opens no value
             if _COMMENT.match(line) and (code or "=" not in line or line.lstrip().startswith(("//", "*"))):
                 for m in re.compile(r"\S+").finditer(line, first):
                     a, b = m.span()
