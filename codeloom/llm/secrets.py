@@ -43,11 +43,13 @@ _SPLIT = re.compile(r"([a-z0-9])([A-Z])")
 _CRED_NAME = re.compile(
     r"(?:^|_)(?:pass|passwd|passwort|password|passphrase|pwd|pw|kennwort|mot_de_passe|contrasena|clave|secret|token|tok|bearer|creds?|credentials?|login|salt|hmac|authorization"
     r"|(?:api|master|signing|access|private|encryption|client|aws|tls|deploy|account|service|root)_?key|key_?id)\d*(?:_|$)"
+    r"|(?:root|admin|user|ftp|smtp|db|keystore|service)(?:pass|pw|login)\d*(?:_|$)|[a-z](?:passwd|password|pwd|secret|token|creds?)\d*(?:_|$)"
 )
 _OTHER_NAME = re.compile(
     r"(?:^|_)(?:label|hint|question|header|ttl|length|len|min|max|days|rotation|enabled|public|pub|cert|certificate|checksum|integrity|icon|logo|uuid|request|correlation|sha|hash|etag|url|uri|endpoint"
     r"|path|file|type|expiry|expires|expiration|count|limit|size|timeout|prefix|pattern|regex|manager|title|placeholder|message|help|policy|field|column|attempts|retries|rounds|strength)\d*(?:_|$)"
 )
+_NOT_ONE = re.compile(r"(?:^|_)(?:public|pub|cert|certificate|label|hint|hash|sha|checksum|icon|logo|min|max|title|placeholder|help|policy|request|correlation)\d*(?:_|$)")
 _OPENS = (
     r"^(?:\$|\{|<|%\(|%[A-Z_]+%$|@@|\[|vault:|ENC\(|enc:|encrypted|arn:|ssm:|aws:|env:|file:|secretsmanager|ref\+|op://|keyring:|kms:|cipher|sops|AES\d*[:(]|\{cipher\}"
     r"|sha\d+[-:]|md5[-:]|ssh-(?:ed25519|rsa|dss)|ecdsa-|data:|-----BEGIN|\$2[aby]\$|argon2|pbkdf2|process\.env|os\.environ|getenv)"
@@ -56,6 +58,8 @@ _OPENS = (
 _HOLDS = r"change.?me|replace|your[-_ .]|[-_ .]here\b|example(?!\.)|dummy|place.?holder|todo|fixme|redact|mask|not.?set|unset|insert|fill.?in|<.*>|\$\{|\{\{|x{4,}|\*{3,}"
 _PLACEHOLDER = re.compile(f"{_OPENS}|{_HOLDS}", re.I)
 _LONG_PLACEHOLDER = re.compile(rf"{_OPENS}|(?<![A-Za-z0-9])(?:{_HOLDS})(?![A-Za-z0-9])", re.I)
+_PATH = re.compile(r"(?:\.{0,2}|~)/[^+=]*")
+_DENSE = re.compile(r"(?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[a-z])(?=[A-Za-z0-9]*[A-Z])[A-Za-z0-9]{12}")  # no word of a path
 LONG = 256  # characters from which a value holds short words by chance: there only whole words mark a placeholder
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 _JOIN = re.compile(r"([\"'`])[ \t]*(?:\+|\.\.|\\)?[ \t]*\\?(?:\r?\n[ \t]*)?(?:\+[ \t]*)?\1")
@@ -75,7 +79,9 @@ def snake(name: str) -> str:
 
 def credential_name(name: str) -> bool:
     s = snake(name)
-    return bool(_CRED_NAME.search(s)) and not _OTHER_NAME.search(s)
+    hits = list(_CRED_NAME.finditer(s))
+    # what stands behind the credential's word tells what of it is meant; before it, only that it is public or of no use
+    return bool(hits) and not _OTHER_NAME.search(s, max(0, hits[-1].end() - 1)) and not _NOT_ONE.search(s, 0, hits[-1].start() + 1)
 
 
 def secretish(v: str) -> bool:
@@ -83,7 +89,7 @@ def secretish(v: str) -> bool:
     v = v.strip().strip("\"'`")
     if len(v) < 6 or any(ch.isspace() for ch in v) or (_PLACEHOLDER if len(v) < LONG else _LONG_PLACEHOLDER).search(v):
         return False
-    if "://" in v or v.startswith(("/", "./", "~/")) or _UUID.fullmatch(v) or "(" in v or v.endswith((")", ";")):
+    if "://" in v or _PATH.fullmatch(v) and not _DENSE.search(v) or _UUID.fullmatch(v) or "(" in v or v.endswith((")", ";")):
         return False
     if not re.search(r"\d", v):
         letters = re.sub(r"[^A-Za-z]", "", v)
