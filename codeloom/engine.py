@@ -16,7 +16,7 @@ GUIDE = """Ask in words or with SQL: behind the prefix.
 - which provided endpoints in 'repo'; which consumed endpoints in 'repo'
 - who calls 'getUser'; configs in file 'src/a.ts'
 - any other words: search over endpoints, functions, files, then everything
-SQL reads the views nodes(id, type, name, repoRoot, file) and edges(fromId, toId)."""
+SQL reads the views nodes (all stored columns) and edges (fromId, type, toId, relKey, properties)."""
 
 
 class Engine:
@@ -35,11 +35,16 @@ class Engine:
     def impact(self, file: str, depth: float = 3, repo_root: str | None = None) -> DataFrame:
         return router.impact(self.graph, file, depth, repo_root)
 
+    def impact_report(self, file: str, depth: float = 3, repo_root: str | None = None) -> str:
+        return "\n".join(router.report(router.impact_lists(self.graph, file, depth, repo_root)))
+
     def learn(self) -> str:
         return GUIDE
 
-    def reset(self, repo_root: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges that are left without one repository, or empty frames."""
-        n = self.graph.nodes
-        e = self.graph.calls()
-        return (n.limit(0), e.limit(0)) if repo_root is None else store.reset_repository(n, e, repo_root)
+    def reset(self, repo_root: str | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+        """Nodes and edges that are left without one repository, or empty frames, and their numbers before and after."""
+        n, e = self.graph.nodes, self.graph.edges().select("fromId", "type", "toId")
+        if repo_root is None:
+            return store.reset_all(n, e)
+        left, kept = store.reset_repository(n, e, repo_root)
+        return left, kept, {"nodes": n.count(), "edges": e.count(), "nodesLeft": left.count(), "edgesLeft": kept.count()}

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File endings of languages. Fixed values.
+# Languages of file endings. Fixed values.
 LANGUAGE_BY_ENDING = {
-    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "java": "java", "cs": "csharp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php",
-    "kt": "kotlin", "swift": "swift", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "scala": "scala", "sh": "shell", "sql": "sql", "html": "html", "css": "css", "scss": "scss", "json": "json", "yml": "yaml", "yaml": "yaml", "xml": "xml", "md": "markdown",
+    "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "java": "java", "cs": "csharp", "cpp": "cpp", "c": "c", "h": "c", "hpp": "cpp", "go": "go", "rs": "rust", "php": "php", "rb": "ruby",
+    "kt": "kotlin", "swift": "swift", "scala": "scala", "sh": "shell", "sql": "sql", "html": "html", "css": "css", "scss": "scss", "less": "less", "json": "json", "xml": "xml", "yaml": "yaml", "yml": "yaml", "md": "markdown",
 }
 # Operator words at the end of a derived-query field. Fixed values, longest first.
 FIELD_OPERATORS = "IsNotNull|NotContaining|StartingWith|GreaterThan|EndingWith|Containing|IgnoreCase|NotLike|LessThan|NotNull|Between|IsNull|Before|After|NotIn|False|Like|True|Not|In"
@@ -83,17 +83,53 @@ def fields_of(part: Column) -> Column:
     return F.transform(F.filter(bare, lambda x: x != ""), lambda x: F.concat(F.lower(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x))))
 
 
+# What a derived query's name begins with, and the words that may stand before By. Fixed values.
+_DERIVED = (r"^(find|read|get|query|search|stream)(?:One|First|Top|Distinct|All)?By(.+)\z", r"^(count)(?:Distinct)?By(.+)\z", r"^(exists)By(.+)\z", r"^(delete|remove)(?:All)?By(.+)\z")
+
+
 def query_operation(name: Column) -> Column:
-    """find, count, delete or exists of a derived query; save, delete, findAll of the known others; null else."""
-    head = F.regexp_extract(name, r"^(find|get|read|query|search|stream|count|delete|remove|exists)By[A-Z]", 1)
-    return (
-        F.when(head.isin("find", "get", "read", "query", "search", "stream"), "find").when(head == "count", "count").when(head.isin("delete", "remove"), "delete").when(head == "exists", "exists")
-        .when(name.rlike("^(?:save|insert|update)"), "save").when(name.rlike("^(?:delete|remove)"), "delete").when(name.rlike("^(?:findAll|getAll|fetchAll)"), "findAll")
-    )
+    """The verb of a derived query; save, delete, findAll of the known others; null else."""
+    verbs = [F.nullif(F.regexp_extract(name, rx, 1), F.lit("")) for rx in _DERIVED]
+    return F.coalesce(*verbs, F.when(name.rlike("^(?:save|persist|store|insert|update)"), "save").when(name.rlike("^(?:delete|remove)"), "delete").when(name.rlike(r"^(?:find|get|load|fetch)All\z"), "findAll"))
 
 
 def query_fields(name: Column) -> Column:
-    return F.when(name.rlike(r"^(?:find|get|read|query|search|stream|count|delete|remove|exists)By[A-Z]"), fields_of(F.regexp_extract(name, r"By(.+)\z", 1)))
+    """Fields of a derived query's name; null for other names."""
+    part = F.coalesce(*[F.nullif(F.regexp_extract(name, rx, 2), F.lit("")) for rx in _DERIVED])
+    return F.when(part.isNotNull(), fields_of(part))
+
+
+def is_http_call(callee: Column) -> Column:
+    """Whether a callee's text is an HTTP client's call; routes of server frameworks are none, calls that end in a verb are."""
+    route = callee.rlike(r"(?i)^(?:app|router|server|fastify|koa|hapi|restify)\.(?:get|post|put|delete|patch)\z")
+    return ~route & callee.rlike(r"(?i)^(?:fetch|axios|request)\z|\.(?:get|post|put|delete|patch)\z|^(?:superagent|got|needle)\.|axios")
+
+
+def method_in_name(callee: Column) -> Column:
+    """The HTTP verb that a callee is or ends in, in capitals; null without one."""
+    return F.nullif(F.upper(F.regexp_extract(callee, r"(?i)(?:^|\.)(get|post|put|delete|patch)\z", 1)), F.lit(""))
+
+
+def server_context(text: Column) -> Column:
+    low = F.lower(text)
+    return low.rlike(r"\b(?:from\s+['\"](?:express|fastify|koa|hapi|restify)['\"]|require\(['\"](?:express|fastify|koa|hapi|restify)['\"]\))") | low.rlike(r"\b(?:createserver\s*\(|express\s*\(|fastify\s*\(|new\s+koa\s*\(|restify\.)")
+
+
+def frontend_context(text: Column) -> Column:
+    return F.lower(text).rlike(r"\bfrom\s+['\"](?:react|react-dom|next|vite|vue|@angular/core)['\"]")
+
+
+def visibility(modifiers: Column) -> Column:
+    """public, private, protected by what the modifiers hold, in that order; package-private else."""
+    return F.when(modifiers.contains("public"), "public").when(modifiers.contains("private"), "private").when(modifiers.contains("protected"), "protected").otherwise("package-private")
+
+
+def annotation(text: Column) -> Column:
+    """struct(name, path, method) of an annotation's text: the last part of its name, its first quoted string, the request method it names."""
+    name = F.element_at(F.split(F.regexp_extract(text, r"^@([A-Za-z0-9_.$]+)", 1), r"\."), -1)
+    inner = F.regexp_extract(text, r"(?s)\((.*)\)", 1)
+    path = F.when(inner.contains('"'), F.regexp_extract(inner, r'"([^"]*)"', 1))
+    return F.struct(name.alias("name"), path.alias("path"), F.nullif(F.upper(F.regexp_extract(inner, r"(?i)RequestMethod\.(GET|POST|PUT|DELETE|PATCH)", 1)), F.lit("")).alias("method"))
 
 
 def keywords(prompt: Column) -> Column:

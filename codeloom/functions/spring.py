@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Repository interfaces in the order in which they are looked for; the first that a text contains counts. Fixed values.
-INTERFACES = ("JpaRepository", "CrudRepository", "PagingAndSortingRepository", "Repository", "MongoRepository", "ReactiveCrudRepository", "ReactiveMongoRepository", "R2dbcRepository")
+INTERFACES = ("JpaRepository", "CrudRepository", "PagingAndSortingRepository", "Repository", "MongoRepository", "ReactiveCrudRepository", "ReactiveMongoRepository", "ElasticsearchRepository")
 
 
 def jpql_tables(text: Column) -> Column:
@@ -36,12 +36,40 @@ def repository_interface(text: Column) -> Column:
     return out
 
 
+def repository_types(text: Column) -> Column:
+    """struct(entityType, idType) of the interface's two type arguments; nulls without them."""
+    rx = F.concat(repository_interface(text), F.lit(r"\s*<\s*([^,>]+)\s*,\s*([^>]+)\s*>"))
+    part = lambda k: F.nullif(F.trim(F.regexp_extract(text, rx, k)), F.lit(""))
+    return F.struct(part(1).alias("entityType"), part(2).alias("idType"))
+
+
+def entity_info(text: Column) -> Column:
+    """struct(isEntity, tableName, schemaName) of a class's text."""
+    table = F.regexp_extract(text, r"@Table\s*\([^)]*\)", 0)
+    part = lambda k: F.when(text.contains("@Entity"), F.nullif(F.regexp_extract(table, rf'{k}\s*=\s*"([^"]+)"', 1), F.lit("")))
+    return F.struct(text.contains("@Entity").alias("isEntity"), part("name").alias("tableName"), part("schema").alias("schemaName"))
+
+
 def security_paths(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r'(?:antMatchers|mvcMatchers|requestMatchers)\s*\(\s*(?:HttpMethod\.\w+\s*,\s*)?"([^"]+)"'), 1))
 
 
-def security_component(text: Column) -> Column:
-    return F.when(text.contains("UserDetailsService"), "UserDetailsService").when(text.rlike(r"AuthenticationProvider"), "AuthenticationProvider").when(text.rlike(r"OncePerRequestFilter|SecurityFilter"), "SecurityFilter").when(text.rlike(r"@EnableWebSecurity|WebSecurityConfigurerAdapter|SecurityFilterChain"), "SecurityConfig")
+# Annotations of security components. Fixed values.
+SECURITY_ANNOTATIONS = ("@EnableWebSecurity", "@EnableGlobalMethodSecurity", "@EnableMethodSecurity", "@PreAuthorize", "@PostAuthorize", "@Secured", "@RolesAllowed")
+
+
+def security_annotations(text: Column) -> Column:
+    return F.filter(F.array(*map(F.lit, SECURITY_ANNOTATIONS)), lambda a: F.contains(text, a))
+
+
+def security_component(text: Column, name: Column) -> Column:
+    """Type of a security component by its class's text and name, the first rule that fits; null else."""
+    return (
+        F.when(text.contains("implements UserDetailsService"), "UserDetailsService")
+        .when(text.contains("AuthenticationManager") & text.contains("@Bean"), "AuthenticationManager")
+        .when(text.contains("extends OncePerRequestFilter") | text.contains("extends GenericFilterBean") | name.contains("Filter"), "SecurityFilter")
+        .when(text.contains("EnableWebSecurity") | text.contains("@Configuration") & name.contains("Security"), "SecurityConfig")
+    )
 
 
 def path_matches_literal(path: Column, pattern: Column) -> Column:

@@ -6,7 +6,7 @@ caller.  ``merge_first`` keeps what was written first, ``merge_last`` what came
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,11 @@ def coalesce_batch(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
     return batch.select(key, *[F.first(c, ignorenulls=True).over(w).alias(c) for c in fields]).distinct()
 
 
+def meta_json(meta: dict[str, Column], nested: tuple[str, ...] = ()) -> Column:
+    """Metadata as a JSON text; values named in ``nested`` are no primitives and become texts of JSON within it.  Nulls stay as nulls."""
+    return F.to_json(F.struct(*[(F.to_json(v) if k in nested else v).alias(k) for k, v in meta.items()]), {"ignoreNullFields": "false"})
+
+
 def merge_first(target: DataFrame, batch: DataFrame, key: str, touch: tuple[str, ...] = ("snapshotVersion",)) -> DataFrame:
     """Target and batch by key: a row that is there keeps its fields but for ``touch``, which the batch renews."""
     t, b = target.alias("t"), batch.alias("b")
@@ -49,3 +54,17 @@ def reset_repository(nodes: DataFrame, edges: DataFrame, repo_root: str) -> tupl
     gone = nodes.where(F.col("repoRoot") == repo_root).select("id")
     kept = edges.join(gone.withColumnRenamed("id", "fromId"), "fromId", "left_anti").join(gone.withColumnRenamed("id", "toId"), "toId", "left_anti")
     return nodes.where(~F.col("repoRoot").eqNullSafe(repo_root)), kept
+
+
+def cleanup_apis(nodes: DataFrame, edges: DataFrame, repo_root: str, provided: bool) -> tuple[DataFrame, DataFrame]:
+    """API nodes without a repository's provided (or consumed) ones, and edges without those that touch them."""
+    is_gone = (F.col("repoRoot").eqNullSafe(repo_root)) & ((F.col("direction") == "provided").eqNullSafe(F.lit(provided)))
+    gone = nodes.where(is_gone).select("id").distinct()
+    kept = edges.join(gone.withColumnRenamed("id", "fromId"), "fromId", "left_anti").join(gone.withColumnRenamed("id", "toId"), "toId", "left_anti")
+    return nodes.where(~is_gone), kept
+
+
+def reset_all(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Empty frames, with the numbers of nodes and edges before and after; nodes count also where there are no edges."""
+    n, e = nodes.limit(0), edges.limit(0)
+    return n, e, {"nodes": nodes.count(), "edges": edges.count(), "nodesLeft": n.count(), "edgesLeft": e.count()}

@@ -10,8 +10,7 @@ from ..session import cut
 
 def _levels(edges: DataFrame, hops: int) -> list[DataFrame]:
     """start, end, nodes, used of the trails of 1, 2, ... ``hops`` edges."""
-    # every hop reads the edges: they are computed once
-    e = cut(edges.select("fromId", "toId").distinct()).withColumn("eid", F.concat_ws(">", "fromId", "toId"))
+    e = edges.select("fromId", "toId").distinct().withColumn("eid", F.concat_ws(">", "fromId", "toId"))
     step = e.select(F.col("fromId").alias("end"), F.col("toId").alias("next"), "eid")
     out = [e.select(F.col("fromId").alias("start"), F.col("toId").alias("end"), F.array("fromId", "toId").alias("nodes"), F.array("eid").alias("used"))]
     for _ in range(hops - 1):
@@ -33,28 +32,16 @@ def trails(edges: DataFrame, hops: int) -> DataFrame:
 
 
 def closed_trails(edges: DataFrame, hops: int) -> DataFrame:
+    """``trails`` that end where they start, by way of the open ones: what ``closed_by_halves`` is tested against."""
     return trails(edges, hops).where("start = end")
 
 
-def cyclic_edges(edges: DataFrame) -> DataFrame:
-    """The edges within strongly connected components: no other edge is on a closed trail.
-
-    The least node that reaches a node, and the least that it reaches, are the same for all nodes of
-    a component; edges between different ones go, until none goes.
-    """
+def trimmed(edges: DataFrame, rounds: int) -> DataFrame:
+    """The edges without those that are on no closed trail because nothing leads to their start or from their end; what that uncovers goes in the next of at most ``rounds`` rounds."""
     e = cut(edges.select("fromId", "toId").distinct())
     n = e.count()
-    while n:
-        for a, b in (("fromId", "toId"), ("toId", "fromId")):
-            labels = cut(e.select(F.explode(F.array("fromId", "toId")).alias("node")).distinct().withColumn("label", F.col("node")))
-            while True:
-                offered = e.join(labels, F.col(a) == F.col("node")).groupBy(F.col(b).alias("node")).agg(F.min("label").alias("least"))
-                new = cut(labels.join(offered, "node", "left").select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("moved")))
-                labels = new.select("node", "label")
-                if new.where("moved").isEmpty():
-                    break
-            ends = [labels.select(F.col("node").alias(c), F.col("label").alias(c + "Label")) for c in ("fromId", "toId")]
-            e = cut(e.join(ends[0], "fromId").join(ends[1], "toId").where("fromIdLabel = toIdLabel").select("fromId", "toId"))
+    for _ in range(rounds):
+        e = cut(e.join(e.select(F.col("toId").alias("fromId")).distinct(), "fromId", "left_semi").join(e.select(F.col("fromId").alias("toId")).distinct(), "toId", "left_semi").select("fromId", "toId"))
         left = e.count()
         if left == n:
             break
@@ -64,7 +51,7 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
 
 def closed_by_halves(edges: DataFrame, hops: int) -> DataFrame:
     """start, nodes, hops of every closed trail of 1 to ``hops`` edges: its halves meet by an equality join on both ends, so that no open trail is longer than a half."""
-    levels = _levels(cyclic_edges(edges), (hops + 1) // 2)
+    levels = [cut(level) for level in _levels(trimmed(edges, hops), (hops + 1) // 2)]
     out = levels[0].where("start = end").select("start", "nodes", F.lit(1).alias("hops"))
     for h in range(2, hops + 1):
         back = levels[h // 2 - 1].select(F.col("start").alias("end"), F.col("end").alias("start"), F.col("nodes").alias("more"), F.col("used").alias("others"))
@@ -76,15 +63,35 @@ def closed_by_halves(edges: DataFrame, hops: int) -> DataFrame:
 def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """seed, node, hop: every node that a seed reaches, with the least number of hops; the seeds' own nodes have hop 0.
 
-    Levels hold each (seed, node) once, so that the number of paths never shows.
+    Levels hold each (seed, node) once, and go on from what the level before saw first; each is
+    written, so that no level is computed again for the next.
     """
     e = cut(edges.select(F.col("fromId").alias("node"), F.col("toId").alias("next")).distinct())
-    seen = seeds.select("seed", "node", F.lit(0).alias("hop")).distinct()
-    front = seen
+    front = seen = cut(seeds.select("seed", "node").distinct().withColumn("hop", F.lit(0)))
     for h in range(1, hops + 1):
-        front = front.join(e, "node").select("seed", F.col("next").alias("node")).distinct().withColumn("hop", F.lit(h))
+        onward = front.join(e, "node").select("seed", F.col("next").alias("node")).distinct()
+        front = cut(onward.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(h)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
-    return seen.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
+    return seen
+
+
+BLOCK = 512  # members of a key that one task pairs with as many others, about
+
+
+def member_pairs(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
+    """keys, a < b: every two members of a key.  rows are distinct.
+
+    A key with many members is split into blocks by hash, and each two blocks meet on their own, so
+    that no key is gathered in one task; a key with few has one block.
+    """
+    sized = rows.join(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1"), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = sized.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = own.select(*keys, F.col(member).alias("a"), F.col("own").alias("i"), other.alias("j"))
+    right = own.select(*keys, F.col(member).alias("b"), other.alias("i"), F.col("own").alias("j"))
+    return left.join(right, [*keys, "i", "j"]).where("a < b").select(*keys, "a", "b")
 
 
 def joined(column, sep: str = ","):

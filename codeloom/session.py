@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +27,16 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, memory: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and everything runs in one process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not re.fullmatch(r"local(?:\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

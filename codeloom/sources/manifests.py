@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import stable_id
 
-_GENERIC = ("api", "app", "web", "service", "lib", "core", "common")  # Words of repository names that are no team. Fixed values.
+_GENERIC = ("api", "web", "app", "service", "lib", "tool", "util")  # Words of repository names that are no team. Fixed values.
 
 
 def _packages(df: DataFrame, manager: str, found: Column) -> DataFrame:
@@ -92,19 +92,29 @@ def codeowners(files: DataFrame) -> DataFrame:
 
 
 def team_metadata(files: DataFrame) -> DataFrame:
-    """Name, description, lead and size of team.json, .team.json, team.yml and team.yaml."""
-    j = F.from_json("content", "name string, description string, lead string, size int")
-    y = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("content", rf"(?m)^{k}:[ \t]*(.*)$", 1), "[\"']", "")), F.lit(""))
-    json = files.where(F.col("file").rlike(r"(^|/)\.?team\.json\z")).select("repoRoot", j.alias("j")).select("repoRoot", "j.*")
-    yaml = files.where(F.col("file").rlike(r"(^|/)team\.ya?ml\z")).select("repoRoot", y("name").alias("name"), y("description").alias("description"), y("lead").alias("lead"), y("size").cast("int").alias("size"))
-    return json.unionByName(yaml).where(F.col("name").isNotNull())
+    """Name, description, lead and size of team.json, .team.json, team.yml and team.yaml, and the maintainers of package.json; team comes before name, manager behind lead, the number of members behind size."""
+    j = F.from_json("content", "team string, name string, description string, lead string, manager string, size int, members array<string>")
+    y = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("content", rf"(?m)^\s*{k}:[ \t]*(.+)$", 1), "[\"']", "")), F.lit(""))
+    members = F.when(F.col("j.members").isNotNull(), F.size("j.members"))
+    json = files.where(F.col("file").rlike(r"(^|/)\.?team\.json\z")).select("repoRoot", j.alias("j")).select("repoRoot", F.coalesce("j.team", "j.name").alias("name"), "j.description", F.coalesce("j.lead", "j.manager").alias("lead"), F.coalesce("j.size", members).alias("size"))
+    yaml = files.where(F.col("file").rlike(r"(^|/)team\.ya?ml\z")).select("repoRoot", F.coalesce(y("team"), y("name")).alias("name"), y("description").alias("description"), F.coalesce(y("lead"), y("manager")).alias("lead"), y("size").cast("int").alias("size"))
+    person = lambda x: F.coalesce(F.get_json_object(x, "$.name"), x)
+    kept = files.where(F.col("file").rlike(r"(^|/)package\.json\z")).select("repoRoot", F.from_json("content", "maintainers array<string>").alias("m")).where(F.size("m.maintainers") > 0)
+    npm = kept.select("repoRoot", F.lit("maintainers").alias("name"), F.concat(F.lit("Maintainers: "), F.array_join(F.transform("m.maintainers", person), ", ")).alias("description"), F.lit(None).cast("string").alias("lead"), F.lit(None).cast("int").alias("size"))
+    return json.unionByName(yaml).unionByName(npm).where(F.col("name").isNotNull())
 
 
 def inferred_team(repo_name: Column) -> Column:
-    """A team guessed from a repository's name: the word before or behind a dash or underscore that is not generic."""
-    first, last = F.regexp_extract(repo_name, r"^([A-Za-z]+)[-_]", 1), F.regexp_extract(repo_name, r"[-_]([A-Za-z]+)\z", 1)
-    ok = lambda c: (c != "") & ~F.lower(c).isin(*_GENERIC)
-    return F.when(ok(first), F.lower(first)).when(ok(last), F.lower(last))
+    """A team guessed from a repository's name: the word before a dash or underscore, or else behind one, that is not generic; in that order, dashes first."""
+    words = [F.regexp_extract(repo_name, rx, 1) for rx in (r"^(\w+)-", r"^(\w+)_", r"-(\w+)\z", r"_(\w+)\z")]
+    return F.coalesce(*[F.when((w != "") & ~F.lower(w).isin(*_GENERIC), w) for w in words])
+
+
+def teams(files: DataFrame, repositories: DataFrame) -> DataFrame:
+    """repoRoot, name, source of teams: of CODEOWNERS and metadata; for repositories (repoRoot) with neither, guessed from the name."""
+    told = codeowners(files).select("repoRoot", "name", F.lit("codeowners").alias("source")).unionByName(team_metadata(files).select("repoRoot", "name", F.lit("metadata").alias("source"))).distinct()
+    guessed = repositories.select("repoRoot").distinct().join(told.select("repoRoot").distinct(), "repoRoot", "left_anti").select("repoRoot", inferred_team(F.regexp_extract("repoRoot", r"([^/\\]+)[/\\]*\z", 1)).alias("name"), F.lit("name").alias("source"))
+    return told.unionByName(guessed.where("name IS NOT NULL"))
 
 
 def git_log(logs: DataFrame) -> DataFrame:
