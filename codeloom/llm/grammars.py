@@ -441,34 +441,56 @@ File = ( NL | Stmt )* ;
 Stmt = Simple | Compound ;
 Simple = Small % ';' [';'] NL ;
 Ident = ID | """ + _any(PY_SOFT) + """ ;
-Small = Stars | Stars ':' Test ['=' Value] | Targets Value | Stars ASSIGN Value | 'pass' | 'break' | 'continue'
-    | 'del' Stars | 'return' [Stars] | 'raise' [Test ['from' Test]] | 'global' Ident % ',' | 'nonlocal' Ident % ','
+Small = Stars | One ':' Test ['=' Value] | Targets Value | One ASSIGN Value | Yield | 'pass' | 'break' | 'continue'
+    | 'del' Dels | 'return' [Stars] | 'raise' [Test ['from' Test]] | 'global' Ident % ',' | 'nonlocal' Ident % ','
     | 'assert' Test [',' Test] | 'import' ( Dotted ['as' Ident] ) % ',' | 'from' FromWhat 'import' ImportList
     | 'type' Ident TParams '=' Test ;
-Targets = ( Stars '=' )+ ;
+Targets = ( Goals '=' )+ ;
+Goals = Goal % ',' [','] ;
+Goal = Place | '*' Place ;
+Place = Spot | '(' [Goals] ')' | '[' [Goals] ']' ;
+Spot = Ident | Prim '.' Ident | Prim '[' Subs ']' ;
+One = Spot | '(' One ')' ;
+Dels = Del % ',' [','] ;
+Del = Spot | '(' [Dels] ')' | '[' [Dels] ']' ;
 Value = Stars | Yield ;
 FromWhat = Dots Dotted | Dots0 ;
 Dots = | Dots0 ;
 Dots0 = '.' | '...' | Dots0 '.' | Dots0 '...' ;
 Dotted = Ident | Dotted '.' Ident ;
 ImportList = '*' | ( Ident ['as' Ident] ) % ',' | '(' ( Ident ['as' Ident] ) % ',' [','] ')' ;
-Compound = IfS | 'while' Named ':' Suite ['else' ':' Suite] | ['async'] 'for' Stars 'in' Stars ':' Suite ['else' ':' Suite]
+Compound = IfS | 'while' Named ':' Suite ['else' ':' Suite] | ['async'] 'for' Goals 'in' Stars ':' Suite ['else' ':' Suite]
     | 'try' ':' Suite Except+ ['else' ':' Suite] ['finally' ':' Suite] | 'try' ':' Suite 'finally' ':' Suite
     | ['async'] 'with' WithItems ':' Suite | Decos ['async'] Def | Decos ClassD | Match ;
 IfS = 'if' Named ':' Suite Elif* ['else' ':' Suite] ;
 Elif = 'elif' Named ':' Suite ;
 Except = 'except' ':' Suite | 'except' ['*'] Test ['as' Ident] ':' Suite ;
 WithItems = WithItem % ',' | '(' WithItem % ',' [','] ')' ;
-WithItem = Test ['as' Star] ;
+WithItem = Test ['as' Place] ;
 Decos = | Decos '@' Named NL ;
 Def = 'def' Ident TParams '(' [Params] ')' ['->' Test] ':' Suite ;
 TParams = | '[' TParam % ',' [','] ']' ;
 TParam = Ident [':' Test] ['=' Test] | '*' Ident | '**' Ident ;
 ClassD = 'class' Ident TParams ['(' [Args] ')'] ':' Suite ;
-Params = Param % ',' [','] ;
-Param = Ident [':' Test] ['=' Test] | '*' [Ident [':' Star]] | '**' Ident [':' Test] | '/' ;
-LParams = LParam % ',' [','] ;
-LParam = Ident ['=' Test] | '*' [Ident] | '**' Ident | '/' ;
+Params = PList [','] ;
+Req = Ident [':' Test] ;
+Dft = Ident [':' Test] '=' Test ;
+Reqs = Req % ',' ;
+Dfts = Dft % ',' ;
+Plain = Reqs | Reqs ',' Dfts | Dfts ;
+Front = Plain | Reqs ',' '/' [',' Plain] | Reqs ',' Dfts ',' '/' [',' Dfts] | Dfts ',' '/' [',' Dfts] ;
+Keys = ( Req | Dft ) % ',' ;
+Rest = '*' Ident [':' Star] [',' Keys] [',' '**' Req] | '*' ',' Keys [',' '**' Req] | '**' Req ;
+PList = Front | Front ',' Rest | Rest ;
+LParams = LList [','] ;
+LReqs = Ident % ',' ;
+LDft = Ident '=' Test ;
+LDfts = LDft % ',' ;
+LPlain = LReqs | LReqs ',' LDfts | LDfts ;
+LFront = LPlain | LReqs ',' '/' [',' LPlain] | LReqs ',' LDfts ',' '/' [',' LDfts] | LDfts ',' '/' [',' LDfts] ;
+LKeys = ( Ident | LDft ) % ',' ;
+LRest = '*' Ident [',' LKeys] [',' '**' Ident] | '*' ',' LKeys [',' '**' Ident] | '**' Ident ;
+LList = LFront | LFront ',' LRest | LRest ;
 Suite = Simple | NL INDENT Stmt+ DEDENT ;
 Match = 'match' Stars ':' NL INDENT CaseB+ DEDENT ;
 CaseB = 'case' Pats ['if' Named] ':' Suite ;
@@ -482,7 +504,9 @@ NumP = [SIGN] NUM [SIGN NUM] ;
 PatKV = ( NumP | STR+ | Dotted | 'None' | 'True' | 'False' ) ':' PatAs | '**' Ident ;
 PatArg = PatAs | Ident '=' PatAs ;
 Stars = Star % ',' [','] ;
-Star = Named | '*' Test ;
+Star = Test | '*' Test ;
+NStars = NStar % ',' [','] ;
+NStar = Named | '*' Test ;
 Yield = 'yield' [Stars] | 'yield' 'from' Test ;
 Named = Test | Ident ':=' Test ;
 Test = Bin | Bin 'if' Bin 'else' Test | 'lambda' [LParams] ':' Test ;
@@ -490,17 +514,19 @@ Bin = Un | Bin Op Un ;
 Op = BIN | SIGN | '*' | '**' | '/' | '|' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' | 'is' 'not' ;
 Un = Power | 'not' Un | SIGN Un | TILDE Un | 'await' Un ;
 Power = Prim ;
-Prim = Atom | Prim '.' Ident | Prim '(' [Args] ')' | Prim '[' Subs ']' ;
-Atom = Ident | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' [Stars] ')' | '(' Yield ')' | '(' Named Comp ')'
-    | '[' [Stars] ']' | '[' Star Comp ']' | '{' [Stars] '}' | '{' Star Comp '}' | '{' KV % ',' [','] '}' | '{' Test ':' Test Comp '}' ;
+Prim = Atom | Prim '.' Ident | Prim '(' [Args] ')' | Prim '(' Named Comp ')' | Prim '[' Subs ']' ;
+Atom = Ident | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' [NStars] ')' | '(' Yield ')' | '(' Named Comp ')'
+    | '[' [NStars] ']' | '[' Named Comp ']' | '{' [NStars] '}' | '{' Named Comp '}' | '{' KV % ',' [','] '}' | '{' Test ':' Test Comp '}' ;
 KV = Test ':' Test | '**' Test ;
 Comp = CompFor+ ;
-CompFor = ['async'] 'for' Targ 'in' Bin CompIf* ;
-Targ = Un0 % ',' [','] ;
-Un0 = Prim | '*' Prim ;
+CompFor = ['async'] 'for' Goals 'in' Bin CompIf* ;
 CompIf = 'if' ( Bin | Ident ':=' Test | 'lambda' [LParams] ':' Test ) ;
-Args = Arg % ',' [','] ;
-Arg = Named | Named Comp | Ident '=' Test | '*' Test | '**' Test ;
+Args = Given [','] ;
+Given = Pos % ',' | Pos % ',' ',' Kws | Kws ;
+Pos = Named | '*' Test ;
+Kws = Kws1 | Kws2 ;
+Kws1 = Ident '=' Test | Kws1 ',' Ident '=' Test | Kws1 ',' '*' Test ;
+Kws2 = '**' Test | Kws1 ',' '**' Test | Kws2 ',' Ident '=' Test | Kws2 ',' '**' Test ;
 Subs = Sub % ',' [','] ;
 Sub = Named | '*' Test | [Test] ':' [Test] [':' [Test]] ;
 """

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .handwritten import extension
 
 LANGUAGES = {"js": "js", "jsx": "js", "ts": "ts", "tsx": "tsx", "py": "py", "java": "java", "cs": "cs"}
-TEMPLATE_SHARE, TEMPLATE_LEAST = 0.002, 20  # a description is a template if functions of so many names bear it, and of so large a share of all pairs of description and name
+TEMPLATE_SHARE = 0.002  # a description is a template if, with the error that a count of this size has, it stands over so large a share of all pairs of description and name
+SURE = 1.96  # width of that error, in standard deviations
 
 
 def _parsable(files: DataFrame) -> DataFrame:
@@ -23,31 +24,14 @@ def _parsable(files: DataFrame) -> DataFrame:
 # --- problem 4 -------------------------------------------------------------------------------------
 
 
-def _python_agrees(text: str) -> bool:
-    """The exact check behind a rejection: Python's own compiler of syntax trees rejects the text too."""
-    import ast
-    import warnings
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return True
-    return False
-
-
 def error_line(text: str, ext: str) -> int:
     """0 if the text is valid in the language of ``ext``, else the line of the first unrecoverable token."""
     from .lexers import first_error
 
     if not text.strip():
         return 0
-    lang = LANGUAGES[ext]
-    at = first_error(text, lang)
-    if at < 0 or lang == "py" and not _python_agrees(text):
-        return 0
-    return text.count("\n", 0, at) + 1
+    at = first_error(text, LANGUAGES[ext])
+    return 0 if at < 0 else text.count("\n", 0, at) + 1
 
 
 def parse_errors(files: DataFrame) -> DataFrame:
@@ -110,12 +94,15 @@ def documented_functions(files: DataFrame, broken: bool = False) -> DataFrame:
 def telling(functions: DataFrame) -> DataFrame:
     """The functions whose description says more than their head and is no template of the corpus.
 
-    Names are counted, not functions: copies of a file add none.
+    Names are counted, not functions: copies of a file add none.  The share is judged by the lower end
+    of its interval (Wilson's), which is the same rule for few functions and for many.
     """
     named = functions.select("key", "func_name").distinct()
     counts = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    templates = counts.join(F.broadcast(total)).where((F.col("n") >= TEMPLATE_LEAST) & (F.col("n") >= TEMPLATE_SHARE * F.col("total"))).select("key")
+    n, t, z = F.col("n"), F.col("total"), F.lit(SURE)
+    low = (n / t + z * z / (2 * t) - z * F.sqrt(n / t * (1 - n / t) / t + z * z / (4 * t * t))) / (1 + z * z / t)
+    templates = counts.join(F.broadcast(total)).where((n > 1) & (low >= TEMPLATE_SHARE)).select("key")  # what is not repeated is no template
     return functions.where("says_more").join(templates, "key", "left_anti")
 
 
