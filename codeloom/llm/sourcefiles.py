@@ -14,6 +14,7 @@ from .handwritten import extension
 LANGUAGES = {"js": "js", "jsx": "js", "ts": "ts", "tsx": "tsx", "py": "py", "java": "java", "cs": "cs"}
 TEMPLATE_SHARE = 0.002  # a description is a template if, with the error that a count of this size has, it stands over so large a share of all pairs of description and name
 SURE = 1.96  # width of that error, in standard deviations
+REPEATED = 3  # names from which a text is repeated at all: two may be a pair of functions
 
 
 def _parsable(files: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def telling(functions: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n").alias("total"))
     n, t, z = F.col("n"), F.col("total"), F.lit(SURE)
     low = (n / t + z * z / (2 * t) - z * F.sqrt(n / t * (1 - n / t) / t + z * z / (4 * t * t))) / (1 + z * z / t)
-    templates = counts.join(F.broadcast(total)).where((n > 1) & (low >= TEMPLATE_SHARE)).select("key")  # what is not repeated is no template
+    templates = counts.join(F.broadcast(total)).where((n >= REPEATED) & (low >= TEMPLATE_SHARE)).select("key")
     return functions.where("says_more").join(templates, "key", "left_anti")
 
 
