@@ -1,11 +1,11 @@
 """Problem 1: files that nobody in the repository wrote by hand.
 
-Per file, a Re-Pair grammar over the abstract tokens outside of data runs: code written by a tool
-repeats one frame, so that its grammar stays of logarithmic size however long it gets, while the
-grammar of hand-written code grows with the file.  Literals that make up (almost) all of a file and
-that hardly compress, or runs of data, flag blobs; the number of tokens on a line flags squeezed
-code.  Across files, rules of a corpus-wide grammar (``repair.phrases`` over the concrete tokens)
-that occur in several product groups flag third-party copies.
+Per file, a Re-Pair grammar over the abstract tokens outside of data runs: code that a tool wrote or
+squeezed repeats its frames, so that rules used again, and long ones, cover most of it, while those of
+hand-written code cover idioms.  Literals that make up (almost) all of a file and that hardly
+compress, or runs of data, flag blobs.  Across files, rules of a corpus-wide grammar
+(``repair.phrases`` over the concrete tokens) that occur in several product groups flag third-party
+copies.
 """
 
 from __future__ import annotations
@@ -22,27 +22,19 @@ from pyspark.sql import functions as F
 from .repair import abstract, concrete, data_mask, grammar_stats, phrases, tokens
 
 EXTENSIONS = ("js", "jsx", "ts", "tsx", "py", "java", "cs")
-GRAMMAR_FACTOR = 7.5  # a grammar of at most so many symbols per doubling of the file is a tool's
-GRAMMAR_RATIO = 0.5  # and at most this share of the file
+REUSE = 0.6  # share of a file's code under rules of at least 8 tokens that its grammar uses again
+FRAMES = 0.6  # and under its long rules (see grammar_stats): of code written by a tool or squeezed by one
+GRAMMAR_FACTOR = 7.5  # symbols of a tool's grammar for each doubling of the file: frames repeat, so that it stays of logarithmic size
+LEAST_CODE = 40  # tokens of code from which a grammar says anything
 DATA_SHARE = 0.88  # share of a file's characters in data runs
 BLOB_SHARE = 0.95  # share in literals, with next to no other tokens
 BLOB_DENSITY = 0.3  # zlib size of the literals by their size, from which they count as hardly compressible
 TOKENS_PER_LINE = 40  # of squeezed code
 SHARED_SHARE = 0.5  # share of a file's tokens under rules that other groups use too
 PHRASE_LEVELS, PHRASE_LEAST = 4, 24  # rounds of pairing; tokens that a rule must stand for
-LEAST_TOKENS = 60  # below, sharing says nothing: stubs and error pages are alike everywhere
 SALTS = 16
 
-# Openings of notices of third parties and of the company itself. Fixed values.
-_NOTICE = re.compile(
-    r"@license\s+([\w.@/-]+)\s+v?\d|This file is part of ([\w.-]+), distributed|\(c\)\s+\d{4}\s+the ([\w.-]+) authors|Copyright\s+(?:\(c\)\s*)?\d{4}(?:-\d{4})?,?\s+([\w.-]+) (?:Contributors|Authors|Project)", re.I
-)
-_OWN = re.compile(r"Corvane", re.I)
-_TOOL = re.compile(
-    r"^\W*(?:@generated\b(?!, this file does not)|<auto-?generated|auto-?generated (?:file|by|from|code)|(?:this )?(?:file|code) (?:is |was )?(?:automatically )?(?:generated|created) by \S+|code generated by|generated (?:from|by) \S+"
-    r"|automatisch erzeugt|fichier (?:produit|généré)|generado (?:por|automáticamente)|source: \S+ -- built)",
-    re.I | re.M,
-)
+OWNER = "Corvane"  # whose own notices a file's head may hold: what its groups share is no third party's
 
 
 def extension(path: F.Column) -> F.Column:
@@ -55,39 +47,30 @@ def group_of(repo_root: F.Column) -> F.Column:
     return F.coalesce(F.nullif(F.regexp_extract(repo_root, r"^/srv/scan/([^/]+)", 1), F.lit("")), repo_root, F.lit(""))
 
 
-def _head_comment(text: str) -> str:
-    m = re.match(r"(?:\s*(?:#!.*|/\*[\s\S]*?\*/|//.*|#.*))*", text[:4000])
-    return m.group() if m else ""
+_HEAD = re.compile(r"(?:\s*+(?:#.*+|/\*[\s\S]*?\*/|//.*+))*+")
 
 
-def _classify(text: str, toks: list, mask: list[bool], stats: dict) -> tuple[str | None, dict]:
+def _classify(text: str, toks: list, mask: list[bool], stats: dict) -> str | None:
     chars = sum(len(t) for _, t, _ in toks) or 1
     literal = sum(len(t) for c, t, _ in toks if c in "sn") / chars
     data = sum(len(t) for (_, t, _), m in zip(toks, mask, strict=True) if m) / chars
-    n, size = stats["n"], stats["size"] + 2 * stats["rules"]
-    lines = 1 + text.count("\n", 0, len(text.rstrip()))
-    head = _head_comment(text)
-    tool = bool(_TOOL.search(re.sub(r"^[\s/*#!]+", "", head, flags=re.M)))
-    kind = None
-    if len(toks) >= 100 and len(toks) / lines >= TOKENS_PER_LINE and n >= 0.5 * len(toks):
-        kind = "squeezed"
-    elif n >= 40 and size <= GRAMMAR_RATIO * n and size <= (GRAMMAR_FACTOR * (1.6 if tool else 1)) * math.log2(n):
-        kind = "tool"
-    elif data >= DATA_SHARE:
-        kind = "tool" if tool else "data"
-    elif literal >= BLOB_SHARE and n <= 40 and len(text) >= 200:
+    if stats["n"] >= LEAST_CODE and stats["reuse"] >= REUSE and stats["top"] >= FRAMES:
+        lines = 1 + text.count("\n", 0, len(text.rstrip()))
+        if len(toks) / lines >= TOKENS_PER_LINE:
+            return "squeezed"
+        if stats["size"] + 2 * stats["rules"] <= GRAMMAR_FACTOR * math.log2(stats["n"]):
+            return "tool"
+    if data >= DATA_SHARE:
+        return "data"
+    if literal >= BLOB_SHARE and stats["n"] <= LEAST_CODE and len(text) >= 200:
         raw = "".join(t for c, t, _ in toks if c in "sn").encode("utf-8", "replace")
         if len(zlib.compress(raw)) >= BLOB_DENSITY * len(raw):
-            kind = "data"
-    notice = _NOTICE.search(head)
-    own = bool(_OWN.search(head)) or bool(notice and _OWN.search(notice.group()))
-    if kind is None and notice and not own:
-        kind = "notice"
-    return kind, {"own": own, "literal": literal, "data": data, "size": size}
+            return "data"
+    return None
 
 
 def profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """file_id, kind (null: nothing within the file), own notice, tokens, and the file's long corpus rules with their lengths."""
+    """file_id, kind (null: nothing within the file), tokens, and the file's long corpus rules with their lengths; a file under the owner's notice has none."""
     for pdf in batches:
         ids, texts = pdf["file_id"].tolist(), pdf["content"].tolist()
         rows = []
@@ -97,10 +80,10 @@ def profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             masks = [data_mask(t) for t in toks]
             stats = grammar_stats([abstract([t for t, m in zip(x, ms, strict=True) if not m]) for x, ms in zip(toks, masks, strict=True)])
             for fid, text, x, ms, s in zip(ids[k : k + 128], part, toks, masks, stats, strict=True):
-                kind, more = _classify(text, x, ms, s)
+                kind = _classify(text, x, ms, s)
                 names: list[int] = []
                 lens: list[int] = []
-                if kind in (None, "notice") and not more["own"] and len(x) >= LEAST_TOKENS:
+                if kind is None and OWNER.lower() not in _HEAD.match(text).group().lower():
                     p, length = phrases(concrete(x), PHRASE_LEVELS)
                     keep = length >= PHRASE_LEAST
                     names = p[keep].astype("int64").tolist()
@@ -113,7 +96,7 @@ PROFILE = "file_id bigint, kind string, n_tokens bigint, rules array<bigint>, le
 
 
 def find_foreign(files: DataFrame) -> DataFrame:
-    """file_id and kind (tool, squeezed, data, notice, copy) of each file that nobody wrote by hand.
+    """file_id and kind (tool, squeezed, data, copy) of each file that nobody wrote by hand.
 
     files: fileId, repoRoot, relPath, content in any of its deliveries; other columns are not read.
     Null or empty contents and other extensions are no cases; an empty table gives none.  The rule

@@ -38,8 +38,11 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def grammar_stats(seqs: list[np.ndarray], rounds: int = 24) -> list[dict]:
-    """Of each sequence of uint64 symbols: tokens, final length, rules, and the share of tokens under rules of at least 8 tokens that are used 4 times or more."""
+def grammar_stats(seqs: list[np.ndarray]) -> list[dict]:
+    """Of each sequence of uint64 symbols: tokens, final length, rules, the share of tokens under symbols of at least 8 tokens that occur again (reuse), and under symbols of at least 24 tokens, or a quarter of a short sequence (top).
+
+    Rounds go on until no digram occurs twice in a sequence.
+    """
     n = [len(s) for s in seqs]
     out = [{"n": k, "size": k, "rules": 0, "reuse": 0.0, "top": 0.0} for k in n]
     if not sum(n):
@@ -49,10 +52,7 @@ def grammar_stats(seqs: list[np.ndarray], rounds: int = 24) -> list[dict]:
     length = np.ones(len(sym), dtype=np.int64)
     covered = np.zeros(len(seqs))
     rules = np.zeros(len(seqs), dtype=np.int64)
-    history: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) >= 2:
         same = owner[:-1] == owner[1:]
         code = _mix(_mix(sym[:-1], sym[1:]), owner[:-1].astype(np.uint64))
         code[~same] = 0
@@ -100,11 +100,11 @@ def grammar_stats(seqs: list[np.ndarray], rounds: int = 24) -> list[dict]:
     _, inv, cnt = np.unique(key, return_inverse=True, return_counts=True)
     np.add.at(covered, owner[long_ & (cnt[inv] >= 2)], length[long_ & (cnt[inv] >= 2)])
     grouped = np.zeros(len(seqs))
-    np.add.at(grouped, owner[length >= 24], length[length >= 24])
+    frame = np.clip(np.array(n) // 4, 12, 24)[owner]  # a short text can't repeat a long frame
+    np.add.at(grouped, owner[length >= frame], length[length >= frame])
     for i, o in enumerate(out):
         if n[i]:
             o |= {"size": int(size[i]), "rules": int(rules[i]), "reuse": float(covered[i] / n[i]), "top": float(grouped[i] / n[i])}
-    del history
     return out
 
 
