@@ -31,13 +31,13 @@ THREATS = [
     r"kill (?:yourself|urself|you|him|her|them)\b", r"\b(?:cut|slit) (?:your|his|her|their|those) throats?", r"break (?:your|his|her|their|those|every) \w+", r"beat (?:you|him|her|them|up)\b", r"push (?:you|him|her|them) under",
     r"burn (?:your|his|her|their|those|down) ", r"\b(?:i|we)(?: will|'ll| shall)? (?:find|hunt|get|destroy|hurt|end) you\b", r"know where (?:you|he|she|they|@|my friend|reviewer)\b.*(?:live|park|work|sleep)", r"where you live",
     r"should be (?:shot|hanged|hung|beaten|killed|put down)", r"(?:hope|wish) (?:you|he|she|they) (?:die|get run|get hit|choke|rot|burn|never wake)", r"get run over", r"\b(?:just )?(?:disappear and die|drop dead|go die)\b", r"take a rope", r"go to hell",
-    r"come over (?:to|and)", r"never touch a keyboard", r"better without you", r"uninstall (?:yourself|urself)", r"think twice before giving birth", r"\bshut up\b", r"crawl back", r"drop(?:ped)? you on the head", r"\byou stink", r"pieces? of shit", r"learn to read|aprende a leer|lern lesen", r"such an? (?:\w+ )?(?:creature|waste)", r"screw you|fuck (?:you|off|u)\b", r"piss off",
-    r"\bwo du wohnst", r"verprugel", r"umbring", r"baseballschlager", r"\bhalt die (?:fresse|klappe|schnauze)", r"verpiss dich", r"ins hirn geschissen", r"(?:wie|als) dich braucht hier keiner", r"gehort (?:entsorgt|erschossen|verprugelt)", r"geh sterben|verrecke",
+    r"better without you", r"\bshut up\b", r"\byou stink", r"pieces? of shit", r"such an? (?:\w+ )?(?:creature|waste)", r"screw you|fuck (?:you|off|u)\b", r"piss off",
+    r"\bwo du wohnst", r"verprugel", r"umbring", r"baseballschlager", r"\bhalt die (?:fresse|klappe|schnauze)", r"verpiss dich", r"gehort (?:entsorgt|erschossen|verprugelt)", r"geh sterben|verrecke",
     r"ou tu habites", r"qu'?(?:il|elle) creve", r"\bcreve\b", r"ferme ta gueule|ta gueule", r"va te faire", r"te casser la|je vais te|fais attention a toi", r"nique ta",
-    r"donde vives", r"te mueras|muerete", r"callate", r"vete a la mierda", r"te vas a arrepentir", r"te voy a (?:matar|romper|buscar)", r"hijo de p", r"nadie te va a", r"pedazo de",
+    r"donde vives", r"te mueras|muerete", r"callate", r"vete a la mierda", r"te vas a arrepentir", r"te voy a (?:matar|romper|buscar)", r"hijo de p", r"pedazo de",
 ]
 ADVANCES = [
-    r"suck (?:my|on|me)", r"(?:send|show) me (?:your |some |a )?(?:nudes?|tits|ass|dick|cock|lips|thighs|body|boobs|photos? of you)", r"get hard", r"slept with|sleeps? with|sleeping with", r"on (?:her|his|your) knees", r"want to (?:fuck|bed|undress|lick)", r"in my mouth|in my bed|on my desk",
+    r"suck (?:my|on|me)", r"(?:send|show) me (?:your |some |a )?(?:nudes?|tits|ass|dick|cock|lips|thighs|body|boobs|photos? of you)", r"get hard", r"slept with|sleeps? with|sleeping with", r"on (?:her|his|your) knees", r"want to (?:fuck|bed|undress|lick)", r"in my mouth|in my bed",
     r"(?:naked|nude) (?:on|in|with|for)", r"your (?:ass|tits|lips|thighs|body|legs|cock|dick)\b", r"dreamt? (?:of|about) (?:your|you)",
     r"zieh dich aus", r"ins bett", r"mit diesem (?:hintern|arsch|korper)", r"photos? de toi nue?", r"te baiser", r"envie de te", r"fotos? (?:tuyas )?desnud[ao]", r"con ese culo", r"ven a mi (?:casa|cama)",
 ]
@@ -47,8 +47,8 @@ GROUPS = (
     r"mujeres|chicas|extranjeros|judios|musulmanes|inmigrantes|refugiados)\b"
 )
 HATE = [
-    r"back to the kitchen|no place for a (?:girl|woman)", r"go back to where", r"did not exist|should not exist|ought to be (?:gone|removed|shot)", r"were let in", r"(?:what you get|happens) (?:for|when) hir", r"never meant to", r"too (?:dumb|stupid|lazy) to",
-    r"\b(?:are|is) (?:a |all )?(?:disease|animals|vermin|parasites|trash|subhuman|cockroaches|scum|plague|inferior|filth|cancer)", r"crawling with them", r"throw them (?:all )?out", r"one of those (?=\w)", r"(?:never|not) be allowed (?:near|to|in)", r"brains? (?:are|is) not made", r"not (?:be )?allowed to (?:code|work|vote)", r"nichts verloren", r"nicht arbeiten durfen", r"sind alle", r"konnen nicht (?:programmieren|denken)",
+    r"back to the kitchen|no place for a (?:girl|woman)", r"go back to where", r"did not exist|should not exist|ought to be (?:gone|removed|shot)", r"too (?:dumb|stupid|lazy) to",
+    r"\b(?:are|is) (?:a |all )?(?:disease|animals|vermin|parasites|trash|subhuman|cockroaches|scum|plague|inferior|filth|cancer)", r"throw them (?:all )?out", r"(?:never|not) be allowed (?:near|to|in)", r"brains? (?:are|is) not made", r"not (?:be )?allowed to (?:code|work|vote)", r"nichts verloren", r"nicht arbeiten durfen", r"sind alle", r"konnen nicht (?:programmieren|denken)",
     r"trop (?:bete|nul|stupide)s?", r"rien a faire (?:dans|ici)", r"rentrent chez (?:eux|elles)", r"no sirven", r"son (?:basura|una plaga|animales)", r"sobran", r"vuelvan a su",
 ]
 PERSON = frozenset(
@@ -79,9 +79,12 @@ _PROFANE = frozenset("fuck fucking fucked shit bullshit damn goddamn bloody crap
 _SCREEN = re.compile(r"[*@$#]|(?<![A-Za-z])[A-Za-z]([ ._\-])[A-Za-z]\1[A-Za-z](?![A-Za-z])|[0-9][a-z]|[a-z][0-9]", re.I)
 _RUNG = re.compile(r"(?<![A-Za-z])[A-Za-z](?:_ ?_?[A-Za-z]){3,}(?![A-Za-z])")
 
-FEATURES = (
-    "insult insult_near insult_quoted degrade_near sexual sexual_near threat advance group hate group_hate profane profane_near technical person obfuscated capitals exclaim evidence second evidence_share long passages".split()
-)
+# Of the passage with most hits: kinds of hits by its words, the nearness of a person to them, and what speaks against them;
+# of the whole text: hits, capitals, exclamation marks and disguised words by its words.
+IN_PASSAGE = ("insult", "quoted", "degrade", "sexual", "threat", "advance", "group", "hate", "profane", "technical", "person", "obfuscated", "capitals", "exclaim")
+NEAR = ("insult_near", "degrade_near", "sexual_near", "profane_near", "group_near")
+IN_TEXT = ("insult", "degrade", "sexual", "threat", "advance", "hate", "profane", "technical", "obfuscated", "capitals", "exclaim")
+FEATURES = (*IN_PASSAGE, *NEAR, *[f"text_{k}" for k in IN_TEXT], "kinds", "second", "words", "share")
 
 
 def _plain(s: str) -> str:
@@ -208,42 +211,26 @@ def passage(s: str) -> dict[str, float] | None:
     def near(hits: list[int]) -> float:
         return max((1 / (1 + min(abs(h - p) for p in per) / 4) for h in hits), default=0.0) if per and hits else 0.0
 
-    f = {
-        "insult": float(len(ins)),
-        "insult_near": near(ins),
-        "insult_quoted": float(q),
-        "degrade_near": near(deg),
-        "sexual": float(len(sex)),
-        "sexual_near": near(sex),
-        "threat": float(threat),
-        "advance": float(advance),
-        "group": float(group),
-        "hate": float(hate),
-        "group_hate": float(min(group, 1) * (hate + min(1, len(deg)) + min(1, len(ins)))),
-        "profane": float(len(prof)),
-        "profane_near": near(prof),
-        "technical": float(tech),
-        "person": float(len(per)),
-        "obfuscated": float(hidden),
-        "capitals": sum(1 for w in re.findall(r"\b[A-Z]{4,}\b", s) if w.lower() in _HITS or w.lower() in _DEG) * 1.0,
-        "exclaim": float(s.count("!")),
-    }
-    f["evidence"] = (
-        2.0 * f["threat"] + 2.0 * f["advance"] + 1.5 * f["hate"] + 1.0 * f["group_hate"] + (1.5 if ins else 0) + 1.0 * f["insult_near"] + 0.7 * f["degrade_near"] + (0.7 + f["sexual_near"] if sex else 0) + 1.2 * f["obfuscated"] - 1.2 * min(2, tech) - 1.0 * q
-    )
-    return f
+    words = max(1, len(toks))
+    counts = {
+        "insult": len(ins), "quoted": q, "degrade": len(deg), "sexual": len(sex), "threat": threat, "advance": advance, "group": group, "hate": hate, "profane": len(prof), "technical": tech, "person": len(per), "obfuscated": hidden,
+        "capitals": sum(1 for w in re.findall(r"\b[A-Z]{4,}\b", s) if w.lower() in _HITS or w.lower() in _DEG), "exclaim": s.count("!"),
+    }
+    near_by = {"insult_near": near(ins), "degrade_near": near(deg), "sexual_near": near(sex), "profane_near": near(prof), "group_near": float(bool(group and (hate or deg or ins)))}
+    # how many kinds of hits there are, less what speaks of code or quotes: picks the passage, no more
+    kinds = sum(bool(counts[k]) for k in ("insult", "sexual", "threat", "advance", "hate", "obfuscated")) + sum(near_by[k] > 0 for k in ("insult_near", "degrade_near", "sexual_near")) + near_by["group_near"] - bool(tech) - bool(q)
+    return {"counts": counts, "near": near_by, "kinds": float(kinds), "words": words}
 
 
 def features(text: str | None, cache: dict[str, dict | None] | None = None) -> list[float]:
-    """The dense features of a text: those of its passage with most evidence, the next passage's evidence, and size."""
-    best: dict[str, float] | None = None
-    second, total, n, shares = 0.0, 0, 0, 0.0
+    """The dense features of a text: densities in its passage with most kinds of hits, and in the whole."""
+    best: dict | None = None
+    second, words, total = 0.0, 0, dict.fromkeys(IN_TEXT, 0)
     for s in _PASSAGE.split(text or ""):
         s = s.strip()
         if len(s) < 3:
             continue
-        n += 1
-        total += len(s)
+        words += s.count(" ") + 1
         if cache is not None and s in cache:
             f = cache[s]
         else:
@@ -254,15 +241,19 @@ def features(text: str | None, cache: dict[str, dict | None] | None = None) -> l
                 cache[s] = f
         if f is None:
             continue
-        if best is None or f["evidence"] > best["evidence"]:
-            second = best["evidence"] if best else 0.0
-            best, shares = f, len(s)
-        elif f["evidence"] > second:
-            second = f["evidence"]
+        for k in IN_TEXT:
+            total[k] += f["counts"][k]
+        if best is None or (f["kinds"], sum(f["near"].values())) > (best["kinds"], sum(best["near"].values())):
+            second, best = (best["kinds"] if best else 0.0), f
+        else:
+            second = max(second, f["kinds"])
     if best is None:
-        return [0.0] * (len(FEATURES) - 2) + [min(4.0, total / 1000), float(min(n, 50))]
-    more = {"second": second, "evidence_share": shares / max(1, total), "long": min(4.0, total / 1000), "passages": float(min(n, 50))}
-    return [float(best.get(k, more.get(k, 0.0))) for k in FEATURES]
+        return [0.0] * (len(FEATURES) - 2) + [min(4.0, words / 200), 0.0]
+    n = best["words"]
+    return [
+        *(best["counts"][k] / n for k in IN_PASSAGE), *(best["near"][k] for k in NEAR), *(total[k] / max(1, words) for k in IN_TEXT),
+        best["kinds"], second, min(4.0, words / 200), n / max(n, words),
+    ]
 
 
 def featurize(docs: DataFrame) -> DataFrame:
@@ -284,8 +275,6 @@ def featurize(docs: DataFrame) -> DataFrame:
 # --- model ----------------------------------------------------------------------------------------
 
 LABEL_BOUND = 40_000  # ratings that the trees are fitted on, at most
-WEAK_BOUND = 2_000  # documents without ratings that steady the fit where ratings are few, at most
-WEAK_WEIGHT = 0.3
 TREES, DEPTH, STEP = 25, 3, 0.25
 THRESHOLD = 0.5
 
@@ -295,10 +284,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     docs: doc_id, source, text; labels: doc_id, rater, abusive, one row for each rating, so that raters
     who disagree pull both ways.  The features of all documents are computed once; the trees are
-    fitted on at most LABEL_BOUND ratings and WEAK_BOUND other documents, and calibrated by isotonic
-    regression on a quarter of the ratings that they haven't seen.  Documents without text score
-    as such.  Without ratings, the other documents alone are fitted, labelled by their evidence;
-    where no two kinds of rows are left to fit, all scores are 0.
+    fitted on at most LABEL_BOUND ratings, and calibrated by isotonic regression on a quarter of them
+    that they haven't seen.  Documents without text score as such.  Where the ratings are not of two
+    kinds, as without any, all scores are 0.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -312,17 +300,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     h = F.xxhash64("doc_id")
     rated = labels.where(F.col("abusive").isin(0, 1)).select("doc_id", F.col("abusive").cast("double").alias("label")).orderBy(h).limit(LABEL_BOUND)
     train = feats.join(F.broadcast(rated), "doc_id").withColumn("weight", F.lit(1.0)).withColumn("held", F.pmod(h, F.lit(4)) == 0)
-    weak = (
-        feats.join(F.broadcast(rated.select("doc_id").distinct()), "doc_id", "left_anti")
-        .where((F.col("evidence") >= 3) | (F.col("evidence") == 0) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) == 0))
-        .withColumn("label", (F.col("evidence") >= 3).cast("double"))
-        .withColumn("weight", F.lit(WEAK_WEIGHT))
-        .withColumn("held", F.lit(False))
-        .orderBy(F.xxhash64("doc_id", F.lit(3)))
-        .limit(WEAK_BOUND)
-    )
-    cols = [*FEATURES, "label", "weight", "held"]
-    rows = train.select(*cols).unionByName(weak.select(*cols)).toPandas()  # at most LABEL_BOUND + WEAK_BOUND narrow rows
+    rows = train.select(*FEATURES, "label", "weight", "held").toPandas()  # at most LABEL_BOUND narrow rows
     fit, held = rows[~rows["held"]], rows[rows["held"]]
     if fit["label"].nunique() < 2:
         return feats.select("doc_id", "source", F.lit(0.0).alias("score"))

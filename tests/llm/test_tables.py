@@ -224,11 +224,16 @@ BAD = ["You are a total m0ron, reviewer 2.", "Kill yourself, @bob.", "Shut up, i
 FINE = ["Kill the child process before the parent.", 'The word list holds terms such as "moron".', "This hack is stupid and ugly, let us delete the garbage.", "Damn, the build fails again.", "Your idiot-proof guide saved my day, thank you.", "The report moved to the archive folder.", "Refugees and citizens share one form."]
 
 
-def test_evidence_separates():
-    ev = abuse.FEATURES.index("evidence")
-    assert min(abuse.features(t)[ev] for t in BAD) > max(abuse.features(t)[ev] for t in FINE) and all(abuse.features(t)[ev] >= 1 for t in BAD)
+def test_features_tell_passages():
+    kinds = abuse.FEATURES.index("kinds")
+    assert min(abuse.features(t)[kinds] for t in BAD) > max(abuse.features(t)[kinds] for t in FINE)
     assert abuse.features(None) == abuse.features("") and len(abuse.features("x")) == len(abuse.FEATURES)
-    assert abuse.features("fine. " * 20000 + BAD[0])[ev] >= 1  # whole texts
+    assert abuse.features("fine. " * 20000 + BAD[0])[kinds] >= 1  # whole texts
+
+
+def test_densities():
+    one, two = (dict(zip(abuse.FEATURES, abuse.features(t))) for t in ("You idiot.", "You idiot. " + "Plain words follow here and say nothing at all. " * 9))
+    assert one["insult"] == two["insult"] > 0 and one["text_insult"] > 9 * two["text_insult"] > 0 and one["share"] == 1 > two["share"]
 
 
 @pytest.mark.parametrize("shown, meant", [("m0r0n", "moron"), ("i.d.i.o.t", "idiot"), ("a*****e", "asshole"), ("pirck", "prick"), ("biiitch", "bitch"), ("plain words", "plain words")])
@@ -247,7 +252,5 @@ def test_score_on_held_out(spark):
     held = [(got[k] >= abuse.THRESHOLD) == (k % 4 == 0) for k in range(200, 400)]
     assert sum(held) / len(held) > 0.97
     assert abuse.rates(s).where("source = '(none)'").first()["documents"] == 200
-    alone = {x["doc_id"]: x["score"] for x in abuse.score(d, labels.limit(0)).collect()}  # on the weakly labelled documents
-    assert len(alone) == 402 and sum((alone[k] >= abuse.THRESHOLD) == (k % 4 == 0) for k in range(400)) > 380
-    assert abuse.score(d.where("doc_id >= 1000"), labels.limit(0)).agg(F.max("score")).first()[0] == 0.0
+    assert abuse.score(d, labels.limit(0)).agg(F.max("score")).first()[0] == 0.0  # no ratings, no scores
     assert abuse.score(d.limit(0), labels).count() == 0
