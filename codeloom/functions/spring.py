@@ -39,7 +39,7 @@ def repository_interface(text: Column) -> Column:
 def repository_types(text: Column) -> Column:
     """struct(entityType, idType) of the interface's two type arguments; nulls without them."""
     rx = F.concat(repository_interface(text), F.lit(r"\s*<\s*([^,>]+)\s*,\s*([^>]+)\s*>"))
-    part = lambda k: F.nullif(F.trim(F.regexp_extract(text, rx, k)), F.lit(""))
+    part = lambda k: F.nullif(F.trim(F.call_function("regexp_extract", text, rx, F.lit(k))), F.lit(""))
     return F.struct(part(1).alias("entityType"), part(2).alias("idType"))
 
 

@@ -27,7 +27,7 @@ _TYPED = {"spanStart": "int", "spanEnd": "int", "size": "bigint"}
 CALL_COLUMNS = ("name", "repoRoot", "file", "spanStart", "spanEnd", "calls", "apisProvided", "apisUsed", "tablesQueried", "configsUsed", "reads", "writes")
 CLASS_HEAD = r"^\s*(?:(?:export|default|public|private|protected|internal|static|final|sealed|abstract|partial)\s+)*class\s+([A-Za-z_]\w*)"
 TYPE_HEAD = r"^\s*(?:(?:export|public|private|protected|internal|declare|const)\s+)*(interface|enum|type)\s+([A-Za-z_]\w*)\s*(?:[<{:=]|extends\b|implements\b|$)"
-ERROR_TEXT = r"(?:throw|raise)\s+(?:new\s+)?[\w.]+\(\s*[^;\"'`()\n]*[\"'`]([^\"'`\n]+)[\"'`]"
+ERROR_TEXT = r"(?:throw|raise)[ \t]+(?:new[ \t]+)?[\w.]+\(\s*[^;\"'`()\n]*[\"'`]([^\"'`\n]+)[\"'`]"
 _QUOTED_OR_COMMENT = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`|//.*"
 
 

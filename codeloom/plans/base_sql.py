@@ -44,7 +44,7 @@ cl3 AS (SELECT c.fileId, c.repoRoot, c.file, c.name, c.ln AS spanStart, coalesce
   FROM cl2 c JOIN cl2 l ON l.fileId = c.fileId AND l.ln >= c.ln WHERE c.name <> '' GROUP BY c.fileId, c.repoRoot, c.file, c.name, c.ln, c.last),
 cls AS (SELECT DISTINCT md5(concat_ws('|', repoRoot, 'Class', file, name, spanStart, spanEnd)) AS id, name, repoRoot, file, spanStart, spanEnd FROM cl3),
 err AS (SELECT fileId, md5(concat_ws('|', repoRoot, 'ErrorMessage', file, message, ln)) AS id, message, repoRoot, file, ln AS line FROM (SELECT *, coalesce(
-   nullif(regexp_extract(concat_ws(chr(10), line, nxt), '^[^\n]*(?:throw|raise)\s+(?:new\s+)?[\w.]+\(\s*[^;"''`()\n]*["''`]([^"''`\n]+)["''`]', 1), ''),
+   nullif(regexp_extract(concat_ws(chr(10), line, nxt), '^[^\n]*(?:throw|raise)[ \t]+(?:new[ \t]+)?[\w.]+\(\s*[^;"''`()\n]*["''`]([^"''`\n]+)["''`]', 1), ''),
    CASE WHEN ends_with(lower(file), '.java') THEN nullif(regexp_extract(line, '\.error\(\s*"([^"]+)"', 1), '') END) AS message FROM ntx WHERE regexp_matches(line, 'throw|raise|\.error\(')) WHERE message IS NOT NULL),
 tdef AS (SELECT *, md5(concat_ws('|', repoRoot, 'TypeDefinition', file, name, ln)) AS id FROM (SELECT fileId, repoRoot, file, ln, regexp_extract(line, '{TYPE}', 1) AS kind, regexp_extract(line, '{TYPE}', 2) AS name FROM lines WHERE regexp_matches(line, '{TYPE}'))),
 fw AS (SELECT fileId, repoRoot, file, CASE WHEN contains(lower(content), 'jest') THEN 'jest' WHEN contains(lower(content), 'mocha') THEN 'mocha' WHEN contains(lower(content), 'pytest') THEN 'pytest' WHEN contains(lower(content), 'unittest') THEN 'unittest' WHEN contains(lower(content), 'junit') THEN 'junit' WHEN contains(lower(content), 'xunit') THEN 'xunit' WHEN contains(lower(content), 'nunit') THEN 'nunit' END AS framework FROM txt),

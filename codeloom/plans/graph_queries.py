@@ -122,7 +122,7 @@ def impact(g: CodeGraph, hops: int, seeds: DataFrame | None = None) -> DataFrame
     where = lambda c: F.concat(c, F.when(F.col("file").isNull(), "").otherwise(F.concat(F.lit(" @ "), "file")))
     api = g.api_rows().select("id", F.when(F.col("direction") == "provided", "providedApis").otherwise("consumedApis").alias("kind"), where(F.concat_ws(" ", "method", F.coalesce("path", "url"))).alias("label"))
     kinds = F.create_map(*[F.lit(x) for kv in LISTS.items() for x in kv])
-    named = g.nodes.where(F.col("type").isin(*LISTS)).select("id", kinds[F.col("type")].alias("kind"), where(F.coalesce("name", F.lit(""))).alias("label"))
+    named = g.nodes.where(F.col("type").isin(*LISTS)).select("id", kinds[F.col("type")].alias("kind"), where(F.col("name")).alias("label"))
     hit = r.join(api.unionByName(named).withColumnRenamed("id", "node"), "node")
     lists = [joined(F.when(F.col("kind") == k, F.col("label"))).alias(k) for k in ("providedApis", "consumedApis", *LISTS.values())]
     return files.join(hit.groupBy("seed").agg(*lists), "seed", "left").select(F.col("seed").alias("fileId"), "affectedFiles", *[F.coalesce(k, F.lit("")).alias(k) for k in ("providedApis", "consumedApis", *LISTS.values())])
@@ -133,7 +133,7 @@ _IMPACT = f""", held AS (SELECT DISTINCT f.id AS seed, n.id AS node FROM fl f JO
 rc AS (SELECT seed, node, 0 AS h FROM held UNION SELECT r.seed, d.toId, r.h + 1 FROM rc r JOIN dep d ON d.fromId = r.node WHERE r.h < {{h}}), re AS (SELECT DISTINCT seed, node FROM rc),
 af AS (SELECT re.seed, array_to_string(list_sort(list(DISTINCT f.file)), ',') AS affectedFiles FROM re JOIN held h ON h.node = re.node JOIN fl f ON f.id = h.seed GROUP BY 1),
 lab AS (SELECT id, CASE WHEN direction = 'provided' THEN 'providedApis' ELSE 'consumedApis' END AS kind, verb || ' ' || route || {_AT} AS label FROM apin
- UNION ALL SELECT id, CASE type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LISTS.items())} END, coalesce(name, '') || {_AT} FROM nodes WHERE type IN ({", ".join(f"'{k}'" for k in LISTS)})),
+ UNION ALL SELECT id, CASE type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LISTS.items())} END, name || {_AT} FROM nodes WHERE type IN ({", ".join(f"'{k}'" for k in LISTS)})),
 ls AS (SELECT seed, {", ".join(f"coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (kind = '{k}')), ','), '') AS {k}" for k in ("providedApis", "consumedApis", *LISTS.values()))} FROM re JOIN lab ON lab.id = re.node GROUP BY 1)
 SELECT af.seed AS fileId, affectedFiles, {", ".join(f"coalesce({k}, '') AS {k}" for k in ("providedApis", "consumedApis", *LISTS.values()))} FROM af LEFT JOIN ls ON ls.seed = af.seed"""
 

@@ -113,7 +113,7 @@ def watch_repository(spark: SparkSession, root: str, folder: str, names: str = "
     """Starts the stream over source files that are added below a repository's root, or written anew there under a new name; a changed file has a later time."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", names).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1024).load(root)
     path = F.regexp_replace("path", r"^file:/*", "/")
-    stream = raw.select(F.xxhash64(path).alias("fileId"), F.lit(root.rstrip("/")).alias("repoRoot"), path.alias("absPath"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("modificationTime").alias("scannedAt"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("snapshotVersion"))
+    stream = raw.select(F.xxhash64(path).alias("fileId"), F.lit(root.rstrip("/")).alias("repoRoot"), path.alias("absPath"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("scannedAt"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("snapshotVersion"))
     return _start(stream, folder, once, edges)
 
 
