@@ -66,6 +66,12 @@ class CodeGraph:
             self._kept["function_entity"] = cut(self.fn(*CALL_COLUMNS, *more))
         return self
 
+    def keep(self, *frames: str) -> CodeGraph:
+        """Some of the graph's frames written once, for queries that use them several times."""
+        for name in frames:
+            self.__dict__[name] = cut(getattr(self, name))
+        return self
+
     def _event_functions(self) -> DataFrame:
         """Functions out of events: a view calls by its number, a purchase of a low number provides an endpoint, a click of one consumes it."""
         k = F.get_json_object("props", "$.k").cast("int")
@@ -111,7 +117,11 @@ class CodeGraph:
     @cached_property
     def lines(self) -> DataFrame:
         """fileId, repoRoot, file, ln, line, nxt (the next line) of every delivery with content."""
-        split = self.texts.withColumn("ls", F.split("content", "\n")).select("fileId", "repoRoot", "file", F.arrays_zip(F.col("ls").alias("line"), F.slice("ls", 2, F.size("ls")).alias("nxt")).alias("z"))
+        return self._lines_of(self.texts)
+
+    @staticmethod
+    def _lines_of(texts: DataFrame) -> DataFrame:
+        split = texts.withColumn("ls", F.split("content", "\n")).select("fileId", "repoRoot", "file", F.arrays_zip(F.col("ls").alias("line"), F.slice("ls", 2, F.size("ls")).alias("nxt")).alias("z"))
         return split.select("fileId", "repoRoot", "file", F.posexplode("z").alias("p", "z")).select("fileId", "repoRoot", "file", (F.col("p") + 1).alias("ln"), "z.line", "z.nxt")
 
     @cached_property
@@ -120,15 +130,18 @@ class CodeGraph:
 
         Braces in strings and line comments don't count; a class that isn't closed goes to the last line.
         """
-        bare = F.regexp_replace("line", _QUOTED_OR_COMMENT, "")
-        n = lambda ch: F.length(F.regexp_replace(bare, rf"[^\{ch}]", ""))
-        name = F.regexp_extract("line", CLASS_HEAD, 1)
-        l = self.lines.where(F.col("fileId").isNotNull()).join(self._with_classes(), "fileId", "left_semi")
-        l = l.select("fileId", "repoRoot", "file", "ln", name.alias("name"), (n("{") - n("}")).alias("d"), (n("}") > 0).alias("closes"), F.length(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"), (F.regexp_replace("line", r"\s", "") != "").alias("full")).distinct()
+        line = F.col("line")
+        bare = F.when(line.contains('"') | line.contains("'") | line.contains("`") | line.contains("//"), F.regexp_replace("line", _QUOTED_OR_COMMENT, "")).otherwise(line)
+        n = lambda ch: F.length("bare") - F.length(F.replace("bare", F.lit(ch), F.lit("")))
+        l = self._lines_of(self.texts.where(F.col("fileId").isNotNull() & F.col("content").rlike("(?m)" + CLASS_HEAD)))
+        name = F.when(line.contains("class"), F.regexp_extract("line", CLASS_HEAD, 1)).otherwise("")
+        l = l.select("fileId", "repoRoot", "file", "ln", name.alias("name"), bare.alias("bare"), F.length(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"), (F.regexp_replace("line", r"\s", "") != "").alias("full"))
+        own = F.when(F.col("name") != "", F.struct("repoRoot", "file")).alias("place")  # only where a class begins: lines travel narrow
+        l = l.select("fileId", "ln", "name", own, (n("{") - n("}")).alias("d"), F.contains("bare", F.lit("}")).alias("closes"), "indent", "full").distinct()
         up = Window.partitionBy("fileId").orderBy("ln")
         l = l.withColumn("depth", F.sum("d").over(up)).withColumn("before", F.max(F.when(F.col("full"), F.col("ln"))).over(up.rowsBetween(Window.unboundedPreceding, -1)))
         l = l.withColumn("last", F.max(F.when(F.col("full"), F.col("ln"))).over(Window.partitionBy("fileId")))
-        c = l.where("name <> ''").select("fileId", "repoRoot", "file", "name", F.col("ln").alias("a"), (F.col("depth") - F.col("d")).alias("base"), F.col("indent").alias("own"), "last")
+        c = l.where("name <> ''").select("fileId", "place.repoRoot", "place.file", "name", F.col("ln").alias("a"), (F.col("depth") - F.col("d")).alias("base"), F.col("indent").alias("own"), "last")
         later = l.select("fileId", "ln", "depth", "closes", "indent", "full", "before")
         python = F.lower("file").endswith(".py")
         found = c.join(later, "fileId").where("ln >= a").groupBy("fileId", "repoRoot", "file", "name", "a", "last").agg(
@@ -138,9 +151,6 @@ class CodeGraph:
         spans = found.select("repoRoot", "file", "name", F.col("a").alias("spanStart"), end.alias("spanEnd"))
         return spans.select(stable_id(F.col("repoRoot"), F.lit("Class"), F.col("file"), F.col("name"), F.col("spanStart"), F.col("spanEnd")).alias("id"), "name", "repoRoot", "file", "spanStart", "spanEnd").distinct()
 
-    def _with_classes(self) -> DataFrame:
-        return self.texts.where(F.col("content").rlike("(?m)" + CLASS_HEAD)).select("fileId").distinct()
-
     @cached_property
     def errors(self) -> DataFrame:
         """Error messages: the string in what is thrown or raised, on its line or the next; in Java also those of error logs."""
@@ -194,8 +204,8 @@ class CodeGraph:
         v = self.fn("repoRoot", "file", "spanStart", "spanEnd", "reads", "writes").where(F.col("spanStart").isNotNull()).select("repoRoot", "file", "spanStart", "spanEnd", F.explode(names).alias("name")).where("name IS NOT NULL").distinct()
         return v.select(stable_id(F.col("repoRoot"), F.lit("Variable"), F.col("file"), F.col("name"), F.col("spanStart"), F.col("spanEnd")).alias("id"), "name", "repoRoot", "file", "spanStart", "spanEnd")
 
-    def entities(self, *cols: str) -> DataFrame:
-        """id, type and ``cols`` (of NODE_COLUMNS) of all entities of fifteen types; an entity that several files name has a row for each."""
+    def entities(self, *cols: str, placed: bool = False) -> DataFrame:
+        """id, type and ``cols`` (of NODE_COLUMNS) of all entities of fifteen types, with ``placed`` of those that have a file; an entity that several files name has a row for each."""
         c = F.col
         api = F.when(c("direction") == "provided", c("route"))
         have = {
@@ -217,6 +227,8 @@ class CodeGraph:
         }
         out = None
         for kind, (frame, props) in have.items():
+            if placed and "file" not in props:
+                continue
             asked = [k for k in cols if props.get(k) is not None]
             part = frame(*asked).select("id", F.lit(kind).alias("type"), *[(props[k] if k in asked else F.lit(None)).cast(_TYPED.get(k, "string")).alias(k) for k in cols])
             out = part if out is None else out.unionByName(part)
@@ -249,7 +261,7 @@ class CodeGraph:
         return self._edge(f.join(entities.select(F.col("id").alias("toId"), "repoRoot", "file"), ["repoRoot", "file"]).where("fromId <> toId"), kind)
 
     def contains(self) -> DataFrame:
-        return self._in_file(self.entities("repoRoot", "file"), "CONTAINS")
+        return self._in_file(self.entities("repoRoot", "file", placed=True), "CONTAINS")
 
     def declares(self) -> DataFrame:
         parts = [self.fn("repoRoot", "file"), self.classes.select("id", "repoRoot", "file"), self.variables.select("id", "repoRoot", "file")]

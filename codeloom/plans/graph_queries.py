@@ -114,7 +114,7 @@ def impact(g: CodeGraph, hops: int, seeds: DataFrame | None = None) -> DataFrame
 
     A node's name and file are those of the node; files are all that contain it.  ``seeds``: file_info's ids of files, all if None.
     """
-    g.keep_functions()
+    g.keep_functions().keep("files", "classes", "errors")
     held = cut(g.contains().select(F.col("fromId").alias("seed"), F.col("toId").alias("node")))
     own = held if seeds is None else held.join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
     r = cut(reach(own, dependencies(g), hops).select("seed", "node"))
@@ -154,7 +154,7 @@ rc AS (SELECT seed, node, 0 AS h FROM held UNION SELECT r.seed, d.toId, r.h + 1
 SELECT DISTINCT rc.seed AS fileId, f.file FROM rc JOIN held h ON h.node = rc.node JOIN fl f ON f.id = h.seed"""
 )
 def q19_surface(g: CodeGraph) -> DataFrame:
-    held = cut(g.keep_functions().contains().select(F.col("fromId").alias("seed"), F.col("toId").alias("node")))
+    held = cut(g.keep_functions().keep("files", "errors").contains().select(F.col("fromId").alias("seed"), F.col("toId").alias("node")))
     r = reach(held, dependencies(g), HOPS).select(F.col("seed").alias("fileId"), "node").join(held, "node").select("fileId", F.col("seed").alias("id")).distinct()
     return r.join(g.files.select("id", "file"), "id").select("fileId", "file").distinct()
 
@@ -584,7 +584,7 @@ def e25_tests(g: CodeGraph) -> DataFrame:
 @query(E.counts())
 def a15_edge_counts(g: CodeGraph) -> DataFrame:
     """Edges of each type."""
-    return g.keep_functions("seq", "derives", "passesTo").edges().groupBy("type").agg(F.count(F.lit(1)).alias("cnt"))
+    return g.keep_functions("seq", "derives", "passesTo").keep("files", "classes", "errors", "variables", "packages").edges().groupBy("type").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query("SELECT (SELECT count(*) FROM fl) AS files, (SELECT count(*) FROM fn) AS functions, (SELECT count(*) FROM cfg) AS configs, (SELECT count(*) FROM repo) AS repositories, (SELECT count(*) FROM dev) AS developers, (SELECT count(*) FROM cm) AS commits")
