@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,16 @@ def _encoder(path: str):
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, source, tokens, loss_tokens of each document with text.
+    """doc_id, source, tokens, loss_tokens of each document with text, by the vocabulary file at a path of the driver's.
 
     Loss-bearing are the tokens outside of fenced code, quoted lines and instructions, which a model is
     shown but not trained to write.  Whole texts are counted; null and empty texts give no row.
     """
 
+    docs.sparkSession.sparkContext.addFile(vocabulary)  # executors need no copy of their own
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(vocabulary)
+        enc = _encoder(SparkFiles.get(os.path.basename(vocabulary)))
         for pdf in batches:
             n, loss = [], []
             for t, source in zip(pdf["text"], pdf["source"], strict=True):
