@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import store
 from .operators.graph import CodeGraph
 from .plans import router
+from .session import cut
 from .sources import manifests, scan
 
 GUIDE = """Ask in words or with SQL: behind the prefix.
@@ -43,7 +44,7 @@ class Engine:
 
     def reset(self, repo_root: str | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
         """Nodes and edges that are left without one repository, or empty frames, and their numbers before and after."""
-        n, e = self.graph.nodes, self.graph.edges().select("fromId", "type", "toId")
+        n, e = cut(self.graph.nodes), cut(self.graph.edges().select("fromId", "type", "toId"))
         if repo_root is None:
             return store.reset_all(n, e)
         left, kept = store.reset_repository(n, e, repo_root)

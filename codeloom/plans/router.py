@@ -83,8 +83,10 @@ def run(g: CodeGraph, prompt: str, limit: float | None = None) -> DataFrame:
     if r.name == "raw":
         if not _READ_ONLY.match(r.arg) or ";" in r.arg.rstrip("; \n"):
             raise ValueError("only a single SELECT may be run")
-        g.node_rows(*NODE_COLUMNS[2:]).createOrReplaceTempView("nodes")
-        g.edges().createOrReplaceTempView("edges")
+        views = {"nodes": lambda: g.node_rows(*NODE_COLUMNS[2:]), "edges": g.edges}
+        for name, view in views.items():
+            if re.search(rf"\b{name}\b", r.arg, re.I):
+                view().createOrReplaceTempView(name)
         out = g.spark.sql(r.arg.rstrip("; \n"))
         return out if re.search(r"\blimit\s+\d+", r.arg, re.I) else out.limit(n)
     if r.name == "call_cycles":
