@@ -106,7 +106,8 @@ def watch(spark: SparkSession, source: str, folder: str, once: bool = False, edg
     else:
         stream = reader.parquet(source)
     extra = ["deleted"] if "deleted" in schema.names else []
-    return _start(stream.select("fileId", "repoRoot", "absPath", "content", "scannedAt", "snapshotVersion", *extra), folder, once, edges)
+    texts = ["repoRoot", "absPath", "content"] if edges else []  # no content is read where no edges are wanted
+    return _start(stream.select("fileId", *texts, "scannedAt", "snapshotVersion", *extra), folder, once, edges)
 
 
 def watch_repository(spark: SparkSession, root: str, folder: str, names: str = "*.{js,jsx,ts,tsx,py,java,cs}", once: bool = False, edges: bool = True):
