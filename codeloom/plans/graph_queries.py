@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import store
+from ..operators.cycles import call_cycles
 from ..operators.graph import NODE_COLUMNS, CodeGraph
 from ..session import cut
 from ..operators.traversal import closed_by_halves, joined, reach
@@ -55,9 +56,7 @@ SELECT cy.s AS start, cy.n AS cycleLength, cy.trail, array_to_string(list_sort(l
 )
 def q01_call_cycles(g: CodeGraph, scope: str | None = None) -> DataFrame:
     """Closed trails of up to eight calls, a row for each start, with the functions and files on them; with ``scope`` those with a file that contains it."""
-    t = closed_by_halves(g.calls(), CYCLE_HOPS).select("start", (F.col("hops") + 1).cast("bigint").alias("cycleLength"), F.array_join("nodes", ",").alias("trail"), "nodes")
-    on = t.select("start", "cycleLength", "trail", F.explode("nodes").alias("id")).join(g.fn("name", "file"), "id")
-    out = on.groupBy("start", "cycleLength", "trail").agg(joined("name").alias("functions"), joined("file").alias("files"))
+    out = call_cycles(g.fn("name", "repoRoot", "file", "calls"), CYCLE_HOPS)
     return out if scope is None else out.where(F.lower("files").contains(scope.lower()))
 
 

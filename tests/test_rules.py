@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from codeloom.engine import Engine
 from codeloom.functions import paths as P
 from codeloom.functions import spring as S
-from codeloom.operators import store
+from codeloom.operators import cycles, store
 from codeloom.operators.graph import CodeGraph, first_by
 from codeloom.operators.traversal import closed_by_halves, closed_trails, member_pairs, trimmed
 from codeloom.plans import router
@@ -69,6 +69,29 @@ def test_trimming_keeps_closed_trails(spark):
     assert trimmed(line, 5).count() == 0
 
 
+def test_call_cycles_move_functions_alone(spark, monkeypatch):
+    random.seed(4)
+    cols = "id string, name string, repoRoot string, file string, calls array<string>"
+    some = lambda k, root: (k, f"n{random.randint(0, 4)}", root, random.choice(["x", "y", None]), random.choice([None, [], ["n0", None, "n1"], ["n2", "n3"], ["n4", "no"]]))
+    plain = [some(f"a{k}", "r") for k in range(11)] + [some(f"b{k}", "s") for k in range(5)] + [("c", "n0", None, "z", ["n0"]), (None, "n1", "r", "z", ["n0"]), ("d", None, "r", "z", ["n0"])]
+    twice = plain + [some(k, root) for k in ("a1", "a2", "b3") for root in ("r", "s", "t", None)] + [("t1", "n1", "t", "w", ["n1", "n0"]), ("t2", "n1", "t", "w", ["n1"])]  # ids under several names and roots
+    for rows in (plain, twice):
+        edges = {(f[0], g[0]) for f in rows for g in rows if f[2] and f[2] == g[2] and g[1] in (f[4] or []) and g[1] and f[0] and g[0] and f[0] != g[0]}
+        want = set()
+        for r in closed_trails(spark.createDataFrame(sorted(edges), "fromId string, toId string"), 5).collect():
+            of = lambda c: ",".join(sorted({x[c] for x in rows if x[0] in r["nodes"] and x[c] is not None}))  # noqa: B023, E731
+            want.add((r["start"], r["hops"] + 1, ",".join(r["nodes"]), of(1), of(3)))
+        df = spark.createDataFrame(rows, cols)
+        for block, most in ((10**6, 10**6), (3, 4)):
+            monkeypatch.setattr(cycles, "TOGETHER", 4 if block == 3 else 10**6)
+            monkeypatch.setattr(cycles, "MOST", most)
+            got = cycles.call_cycles(df, 5, block).collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want and want
+    plan = cycles.call_cycles(spark.createDataFrame(plain, cols), 8)._jdf.queryExecution().analyzed().toString()
+    assert "trail" not in plan[plan.index("Repartition") :]  # no trail is shuffled
+    assert cycles.call_cycles(df.limit(0), 8).count() == 0
+
+
 def test_first_by_keeps_what_is_asked(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("b", 1, "y")], "k string, o int, v string")
     assert sorted(map(tuple, first_by(df, ["k"], ["o"], ["v"]).collect())) == [("a", None), ("b", "y")]
